@@ -27,12 +27,14 @@ def latest_by(df: DataFrame, keys: list[str], order: Column, *, keep_null_keys:
     return best.unionByName(df.filter(null)) if keep_null_keys else best
 
 
-def identifier_groups(triples: DataFrame) -> DataFrame:
-    """Adds copy_group to rows with scope, primary, secondary (distinct identifiers; any may be null but scope).
+def identifier_labels(triples: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """What links distinct identifiers (scope, primary, secondary; primary or secondary may be null).
 
     Equal primaries are copies; a row without primary is a copy of all rows with its secondary; copies of
-    copies are copies. copy_group is null for a row without both. Secondaries that no bare row carries link
-    nothing. Chains of primaries are resolved by star contraction over the few linking edges only.
+    copies are copies. Gives (scope, secondary, label) for each secondary that a row without primary carries
+    and a primary too, and (scope, primary, label) for each primary that is linked to another, or None if none
+    is. Secondaries that no bare row carries link nothing. Chains are resolved by star contraction over the
+    few linking edges only.
     """
     bare = (
         triples.filter(F.col("secondary").isNotNull()).groupBy("scope", "secondary")
@@ -46,15 +48,24 @@ def identifier_groups(triples: DataFrame) -> DataFrame:
         .select(F.struct("scope", F.col("primary").alias("p")).alias("a"), F.struct("scope", F.col("first").alias("p")).alias("b")).distinct()
     )
     edges = stored(edges, "linking")
-    t = triples.join(bare, ["scope", "secondary"], "left").withColumn("_p", F.coalesce("primary", "first")).drop("first")
     if edges.isEmpty():
-        group = F.col("_p")
+        return bare.withColumnRenamed("first", "label"), None
+    linked = components(edges).select(F.col("node.scope").alias("scope"), F.col("node.p").alias("primary"), F.col("component.p").alias("label"))
+    linked = stored(linked, "labels")
+    by_secondary = bare.join(linked, (bare["scope"] == linked["scope"]) & (bare["first"] == linked["primary"]), "left")
+    return by_secondary.select(bare["scope"], "secondary", F.coalesce("label", "first").alias("label")), linked
+
+
+def identifier_groups(triples: DataFrame) -> DataFrame:
+    """Adds group_primary and group_secondary, which together name the group of copies of each distinct identifier triple."""
+    by_secondary, by_primary = identifier_labels(triples)
+    t = triples.join(by_secondary.withColumnRenamed("label", "_s"), ["scope", "secondary"], "left")
+    if by_primary is not None:
+        t = t.join(by_primary.withColumnRenamed("label", "_p"), ["scope", "primary"], "left")
+        t = t.withColumn("group_primary", F.when(F.col("primary").isNotNull(), F.coalesce("_p", "primary")).otherwise(F.col("_s"))).drop("_p")
     else:
-        label = components(edges).select(F.col("node.scope").alias("scope"), F.col("node.p").alias("_p"), F.col("component.p").alias("_l"))
-        t = t.join(label, ["scope", "_p"], "left")
-        group = F.coalesce("_l", "_p")
-    named = F.coalesce(F.concat(F.lit("m/"), group), F.concat(F.lit("r/"), F.col("secondary")))
-    return t.withColumn("copy_group", named).drop("_p", "_l")
+        t = t.withColumn("group_primary", F.coalesce("primary", "_s"))
+    return t.drop("_s").withColumn("group_secondary", F.when(F.col("group_primary").isNull(), F.col("secondary")))
 
 
 def distinct_identifiers(rows: DataFrame, scope: Column, primary: str, secondary: str, *aggs: Column) -> DataFrame:
@@ -71,6 +82,6 @@ def dropped_copies(rows: DataFrame, id: str, scope: Column, primary: str, second
     """
     best = F.struct(*order, F.col(id).alias("_id"))
     triples = stored(distinct_identifiers(rows, scope, primary, secondary, F.max(best).alias("best")), "identifiers")
-    kept = identifier_groups(triples).groupBy("scope", "copy_group").agg(F.max("best").alias("best")).select(F.col("best._id").alias(id))
+    kept = identifier_groups(triples).groupBy("scope", "group_primary", "group_secondary").agg(F.max("best").alias("best")).select(F.col("best._id").alias(id))
     keyed = rows.filter(F.col(primary).isNotNull() | F.col(secondary).isNotNull())
     return keyed.select(id).join(kept, id, "left_anti")
