@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.strict_json import parse_object
 from ..runtime import stored
 
 TYPES = ("null", "boolean", "number", "string", "array", "object")
@@ -41,10 +42,6 @@ FORMS = (*_TEXT_FORMS, "flag", "count", "epoch_s", "object", "window_map", "list
 _FORM_BIT = {f: 1 << i for i, f in enumerate(FORMS)}
 
 
-def _bad(x: str):
-    raise ValueError(x)
-
-
 def json_type(v: object) -> str:
     if v is None:
         return "null"
@@ -53,23 +50,6 @@ def json_type(v: object) -> str:
     return {str: "string", list: "array", dict: "object"}.get(type(v), "number")
 
 
-def parse_object(raw: bytes | None) -> dict | None:
-    """The line's JSON object, or None: no JSON, another type, trailing text, NaN, nested too deeply."""
-    if not raw:
-        return None
-    text = raw.decode("utf-8", "replace")
-    try:
-        v = json.loads(text, parse_constant=_bad)
-    except RecursionError:
-        return None
-    except ValueError:
-        try:  # integers too long for Python's int
-            v = json.loads(text, parse_constant=_bad, parse_int=float)
-        except (ValueError, RecursionError):
-            return None
-    return v if type(v) is dict else None
-
-
 def form_bits(v: object) -> int:
     """The value forms that v has, as bits of FORMS."""
     bits = 0
