@@ -88,7 +88,7 @@ CTES: dict[str, str] = {
     "hit_lines": "SELECT * FROM copies WHERE line_class = 'limit_hit' QUALIFY row_number() OVER (PARTITION BY session_id, u ORDER BY root, relative_path, copies.first_run_id, line_number, raw_line_id) = 1",
     "said": r"""
       SELECT *, CASE WHEN contains(lower(message_text), 'session limit') OR contains(lower(message_text), '5-hour limit') THEN 'five_hour' WHEN contains(lower(message_text), 'weekly limit') THEN 'seven_day' END AS text_window,
-             nullif(trim(regexp_extract(message_text, '(?i)resets (.*)$', 1)), '') AS reset_text, decode(line_bytes)::JSON AS j
+             nullif(trim(regexp_extract(message_text, '(?i)resets (.*)$', 1)), '') AS reset_text, TRY_CAST(decode(line_bytes) AS JSON) AS j
       FROM hit_lines""",
     "quoted": r"""
       SELECT *, CASE WHEN j->>'$.quotaLimits.rateLimitType' IN ('five_hour', 'seven_day') THEN j->>'$.quotaLimits.rateLimitType' END AS quota_window,
@@ -105,8 +105,8 @@ CTES: dict[str, str] = {
       UNION ALL
       SELECT c.hit, c.session_id, (SELECT n.raw_line_id FROM distinct_lines n WHERE n.session_id = c.session_id AND n.uuid = l.parent_uuid), c.passed + 1
       FROM climb c JOIN distinct_lines l ON l.raw_line_id = c.line_id
-      WHERE l.line_type = 'attachment' AND c.passed < 50 AND (decode(l.line_bytes)::JSON->>'$.attachment.type' IN ({_PASS})
-        OR (decode(l.line_bytes)::JSON->>'$.attachment.type' = 'queued_command' AND decode(l.line_bytes)::JSON->>'$.attachment.commandMode' = 'task-notification'))""",
+      WHERE l.line_type = 'attachment' AND c.passed < 50 AND (TRY_CAST(decode(l.line_bytes) AS JSON)->>'$.attachment.type' IN ({_PASS})
+        OR (TRY_CAST(decode(l.line_bytes) AS JSON)->>'$.attachment.type' = 'queued_command' AND TRY_CAST(decode(l.line_bytes) AS JSON)->>'$.attachment.commandMode' = 'task-notification'))""",
     "stops": "SELECT hit, max(passed) AS passed, arg_max(coalesce(line_id, -1), passed) AS line_id FROM climb GROUP BY hit",
     "logged": """
       SELECT t.raw_line_id, t.session_id, t.uuid, t.parent_uuid, t.timestamp_utc, t.is_sidechain, coalesce(quota_window, text_window) AS window_name, reset_text, coalesce(quota_reset, text_reset) AS reset_at_utc,
