@@ -288,6 +288,8 @@ def with_ctes(select: str) -> str:
             if name not in need and re.search(rf"\b(?:FROM|JOIN)\s+\(?{name}\b", text):
                 need.add(name)
                 todo.append(CTES[name])
+    if not need:
+        return select
     # Definitions read by several others are computed once.
     body = ",\n".join(f"{n} AS {'' if n == 'climb' else 'MATERIALIZED '}({CTES[n]})" for n in CTES if n in need)
     return f"WITH RECURSIVE {body.replace('climb AS (', 'climb(hit, session_id, line_id, passed) AS (')}\n{select}"
