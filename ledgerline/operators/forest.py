@@ -40,11 +40,11 @@ def nodes_of(rows: DataFrame, id: str, scope: list[str], key: str, parent: str,
     """One row per node: h1, h2 (its key), p1, p2 (its parent's key), id, and the `extra` aggregates.
 
     Rows of equal scope and key are one node with the smallest id and the one non-null parent; if they name
-    different parents, the parent counts as unknown. Rows with a null key or scope are no nodes. Hot keys are
+    different parents, the parent counts as unknown. Rows with a null key, scope or id are no nodes. Hot keys are
     combined map-side.
     """
     s = [F.col(c) for c in scope]
-    rows = rows.filter(F.col(key).isNotNull())
+    rows = rows.filter(F.col(key).isNotNull() & F.col(id).isNotNull())
     for c in s:
         rows = rows.filter(c.isNotNull())
     h, p = key128(s, F.col(key)), key128(s, F.col(parent))
@@ -171,3 +171,113 @@ def rooted(links: DataFrame, block_links: int = BLOCK_LINKS) -> DataFrame:
         ).unionByName(united.filter(~F.col("open")).select("id", "root", "dist"))
         n = size
     return result.select("id", "root", F.col("dist").alias("depth"))
+
+
+# --- paths and descendants ---------------------------------------------------------------------------------
+
+STEP = 32
+
+
+def paths(links: DataFrame, step: int = STEP, placed: DataFrame | None = None) -> DataFrame:
+    """id, root, depth, anchor, segment: each node's path, indexed in steps.
+
+    segment runs from below the anchor down to the node, 1 to `step` nodes; the anchor is the ancestor whose depth
+    is the next multiple of `step` above (null for a root, whose segment is itself). The full path is the anchor's
+    path and then the segment, so a tree as deep as it is large still takes at most `step` ids a node. Segments
+    grow by pointer doubling: log2(step) joins. Nodes without root don't appear.
+    """
+    placed = rooted(links) if placed is None else placed
+    good = placed.filter(F.col("root") != CYCLE)
+    now = links.select("id", F.col("pid").alias("top")).join(good, "id")
+    up = good.select(F.col("id").alias("top"), (F.col("depth") % step == 0).alias("_stop"))
+    now = now.join(up, "top", "left").withColumns({"segment": F.array("id"), "ends": F.coalesce("_stop", F.lit(True))}).drop("_stop")
+    now = stored(now.select("id", "root", "depth", "top", "segment", "ends"), "paths")
+    for _ in range(max(1, step - 1).bit_length()):
+        above = now.filter(F.col("depth") % step != 0).select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("segment").alias("_segment"), F.col("ends").alias("_ends"))
+        grown = now.filter(~F.col("ends")).join(above, "top").select("id", "root", "depth", F.col("_top").alias("top"), F.concat("_segment", "segment").alias("segment"), F.col("_ends").alias("ends"))
+        following = stored(now.filter("ends").unionByName(grown), "paths")
+        drop(now)
+        now = following
+    return now.select("id", "root", "depth", F.col("top").alias("anchor"), "segment")
+
+
+def _sum_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block's trees: each node's sum of weights below and at it inside the block, its local root, and where that root hangs."""
+    got = list(batches)
+    if not sum(b.num_rows for b in got):
+        return
+    t = pa.Table.from_batches(got)
+    pid = t["pid"].combine_chunks()
+    order = np.argsort(t["id"].to_numpy(), kind="stable")
+    has = pid.is_valid().to_numpy(zero_copy_only=False)[order]
+    up = pid.fill_null(0).to_numpy(zero_copy_only=False)[order]
+    ids, total = t["id"].to_numpy()[order], t["weight"].to_numpy()[order].tolist()
+    n = len(ids)
+    at = np.searchsorted(ids, up)
+    at[at == n] = 0
+    inside = has & (ids[at] == up)
+    _, root, dist, _, _, _, _ = unite(ids, np.where(inside, up, 0), np.ones(n, np.int64), inside, inside)
+    parent = at.tolist()
+    for i in np.argsort(-dist, kind="stable").tolist():
+        if inside[i]:
+            total[parent[i]] += total[i]
+    out = pa.table({"id": ids, "top": root, "total": pa.array(total, pa.int64()), "ext": pa.array(up, mask=~(has & ~inside))})
+    yield from out.to_batches(max_chunksize=100_000)
+
+
+def _subtree_sums(tree: DataFrame, rows: int, parts: int, block_links: int) -> DataFrame:
+    """id, total for a forest (id, pid, weight) without cycles: block sums, then the tree of block roots, then the blocks again."""
+    ranged = lambda df: df.repartitionByRange(parts, "id") if parts > 1 else df.coalesce(1)
+    schema = "id long, top long, total long, ext long"
+    local = stored(ranged(tree).mapInArrow(_sum_arrow, schema), "sums")
+    crossing = local.filter("ext is not null").select(F.col("id").alias("x"), "ext", F.col("total").alias("weight"))
+    count = crossing.count() if parts > 1 else 0
+    if not count:
+        return local.select("id", "total")
+    over = local.select(F.col("id").alias("ext"), F.col("top").alias("pid"))
+    linked = crossing.join(over, "ext")
+    tops = local.filter("ext is null and id = top").select("id", F.lit(None).cast("long").alias("pid"), F.col("total").alias("weight"))
+    upper = stored(linked.select(F.col("x").alias("id"), "pid", "weight").unionByName(tops.join(linked.select(F.col("pid").alias("id")).distinct(), "id", "left_semi")), "upper")
+    size = upper.count()
+    fewer = 1 if size <= block_links else max(1, math.ceil(size / block_links), parts // FAN_IN)
+    if fewer >= parts:
+        raise ValueError("ids of this forest have no locality: renumber its nodes along the trees first")
+    above = _subtree_sums(upper, size, fewer, block_links)
+    extra = crossing.select(F.col("x").alias("id"), "ext").join(above, "id").groupBy(F.col("ext").alias("id")).agg(F.sum("total").alias("_extra"))
+    again = tree.join(extra, "id", "left").select("id", "pid", (F.col("weight") + F.coalesce("_extra", F.lit(0))).alias("weight"))
+    return ranged(again).mapInArrow(_sum_arrow, schema).select("id", "total")
+
+
+def descendant_counts(links: DataFrame, block_links: int = BLOCK_LINKS, placed: DataFrame | None = None) -> DataFrame:
+    """id, descendants: the number of nodes below each node. Nodes without root don't appear."""
+    placed = rooted(links, block_links) if placed is None else placed
+    tree = links.join(placed.filter(F.col("root") != CYCLE).select("id"), "id", "left_semi").select("id", "pid", F.lit(1).cast("long").alias("weight"))
+    tree = stored(tree, "tree")
+    rows = tree.count()
+    sums = _subtree_sums(tree, rows, blocks(links.sparkSession, rows, block_links), block_links)
+    return sums.select("id", (F.col("total") - 1).alias("descendants"))
+
+
+def descendants(links: DataFrame, asked: DataFrame) -> DataFrame:
+    """ancestor, id: every node below each asked node (asked: id). The forest is cut at the asked nodes and solved once.
+
+    Each node then knows its nearest asked ancestor; chains of asked nodes are closed among themselves. The result
+    has as many rows as there are such pairs. Cycles and nodes that aren't asked for give nothing.
+    """
+    a = stored(asked.select(F.col("id").alias("_a")).filter("_a is not null").distinct(), "asked")
+    cut = links.join(a, F.col("id") == F.col("_a"), "left").select("id", F.when(F.col("_a").isNull(), F.col("pid")).alias("pid"), F.col("pid").alias("up"), F.col("_a").isNotNull().alias("is_asked"))
+    cut = stored(cut, "cut")
+    whole = rooted(links).filter(F.col("root") == CYCLE).select("id")
+    near = rooted(cut.select("id", "pid")).filter(F.col("root") != CYCLE).select("id", F.col("root").alias("near")).join(whole, "id", "left_anti")
+    near = stored(near.join(a, F.col("near") == F.col("_a")).select("id", "near"), "near")
+    above = cut.filter("is_asked and up is not null").select(F.col("id").alias("low"), F.col("up").alias("id")).join(near, "id").select("low", F.col("near").alias("high"))
+    closed = stored(above, "closed")
+    while True:
+        longer = closed.alias("x").join(closed.alias("y"), F.col("x.high") == F.col("y.low")).select(F.col("x.low").alias("low"), F.col("y.high").alias("high"))
+        following = stored(closed.unionByName(longer).distinct(), "closed")
+        if following.count() == closed.count():
+            break
+        closed = following
+    own = near.filter("id <> near").select(F.col("near").alias("ancestor"), "id")
+    far = near.join(closed, F.col("near") == F.col("low")).select(F.col("high").alias("ancestor"), "id")
+    return own.unionByName(far)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import copies, drift, forest
 from ..runtime import stored
+from .drift_sql import P1_FOUND_SQL
 
 MISSING = "<missing>"
 
@@ -93,5 +94,38 @@ SELECT l.id AS raw_line_id, coalesce(w.root, -1) AS root_line_id, CAST(coalesce(
 FROM link l LEFT JOIN walk w ON w.id = l.id
 """
 
-QUERIES = {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p3_found": p3_found}
-SQL = {"p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL}
+def _placed_links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    links = stored(forest.links_of(stored(parsed_nodes(spark, d), "nodes")).select("id", "pid"), "tree-links")
+    return links, stored(forest.rooted(links), "placed")
+
+
+def p3_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Each node's path in steps of 32: the anchor's path, then the segment down to the node."""
+    links, placed = _placed_links(spark, d)
+    segment = F.array_join(F.transform("segment", lambda x: x.cast("string")), "/")
+    return forest.paths(links, placed=placed).select(F.col("id").alias("raw_line_id"), F.col("root").alias("root_line_id"), "depth", F.col("anchor").alias("anchor_line_id"), segment.alias("segment"))
+
+
+def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """How many nodes lie below each node."""
+    links, placed = _placed_links(spark, d)
+    return forest.descendant_counts(links, placed=placed).select(F.col("id").alias("raw_line_id"), "descendants")
+
+
+_TREE = """WITH RECURSIVE node AS (
+  SELECT session_id AS s, uuid AS u, min(raw_line_id) AS id, min(parent_uuid) AS p
+  FROM parsed_lines WHERE session_id IS NOT NULL AND uuid IS NOT NULL GROUP BY 1, 2),
+link AS (SELECT c.id, n.id AS up FROM node c LEFT JOIN node n ON n.s = c.s AND n.u = c.p),
+walk(id, root, depth, path) AS (
+  SELECT id, id, 0, [id] FROM link WHERE up IS NULL
+  UNION ALL SELECT l.id, w.root, w.depth + 1, list_append(w.path, l.id) FROM walk w JOIN link l ON l.up = w.id)"""
+P3_PATHS_SQL = _TREE + """
+SELECT id AS raw_line_id, root AS root_line_id, CAST(depth AS BIGINT) AS depth, CASE WHEN depth > 0 THEN path[(depth - 1) // 32 * 32 + 1] END AS anchor_line_id,
+       CASE WHEN depth = 0 THEN CAST(id AS VARCHAR) ELSE array_to_string(path[(depth - 1) // 32 * 32 + 2:], '/') END AS segment FROM walk
+"""
+P3_DESCENDANTS_SQL = _TREE + """
+SELECT id AS raw_line_id, count(below.a) AS descendants FROM walk LEFT JOIN (SELECT unnest(path[:-2]) AS a FROM walk) below ON below.a = id GROUP BY id
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants}
+SQL = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_paths": P3_PATHS_SQL, "p3_descendants": P3_DESCENDANTS_SQL}

@@ -134,13 +134,15 @@ class Reports(Telemetry):
 
     def explain(self, metric: str) -> DataFrame:
         """grp, value (as reported), resummed (from the events) and whether they agree: one query per metric."""
-        reported, events, _, zero = self.explanations()[metric]
+        return self._explained(*self.explanations()[metric])
+
+    def _explained(self, reported: DataFrame, events: DataFrame, unit: str, zero: bool) -> DataFrame:
         return agreement(reported, _all_groups(reported, resum(events, ["grp"], F.col("contribution"), zero), zero), ["grp"], "value")
 
     def explain_all(self) -> DataFrame:
         out = None
-        for metric in self.explanations():
-            e = self.explain(metric).select(F.lit(metric).alias("metric"), "grp", F.round("value", 6).alias("reported"), F.round("resummed", 6).alias("resummed"), "agrees")
+        for metric, parts in self.explanations().items():
+            e = self._explained(*parts).select(F.lit(metric).alias("metric"), "grp", F.round("value", 6).alias("reported"), F.round("resummed", 6).alias("resummed"), "agrees")
             e = stored(e, "explained")  # a plan of fifteen metrics at once would cost more than it saves
             out = e if out is None else out.unionByName(e)
         return out
@@ -378,10 +380,10 @@ def _q(method: str):
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    """Our parse of the raw lines, spoken as the test tables do: an error line that names no error is synthetic_other there."""
+    """Our parse of the raw lines, spoken as the test tables do: an error line with neither error nor status is synthetic_other there."""
     raw = Telemetry(spark, d).table("raw_lines")
-    unnamed = (F.col("line_class") == "api_error") & (F.col("unknown_error") == "<missing>")
-    f = derive.log_facts(raw, only=[*derive.PARSED, "unknown_error"]).withColumn("line_class", F.when(unnamed, "synthetic_other").otherwise(F.col("line_class")))
+    unnamed = (F.col("line_class") == "api_error") & (F.col("unknown_error") == "<missing>") & F.col("api_error_status").isNull()
+    f = derive.log_facts(raw, only=[*derive.PARSED, "unknown_error", "api_error_status"]).withColumn("line_class", F.when(unnamed, "synthetic_other").otherwise(F.col("line_class")))
     return derive.parsed_lines(f)
 
 
