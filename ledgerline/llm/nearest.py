@@ -35,7 +35,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = rows.num_rows
     entity = rows["entity"].combine_chunks()
     code = entity.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    t, ids, right = rows["t"].to_numpy(), rows["id"].to_numpy(), rows["right"].to_numpy()
+    t, ids, right = rows["t"].to_numpy(), rows["id"].combine_chunks(), rows["right"].to_numpy()  # ids may be null
     at = np.arange(n)
     before = np.maximum.accumulate(np.where(right, at, -1))
     after = np.minimum.accumulate(np.where(right, at, n)[::-1])[::-1]
@@ -46,18 +46,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # A left row may have its partner in another partition if no right row of this one stands between it and the edge.
     open_b, open_a = (b < 0) & (code[left] == code[0]), (a == n) & (code[left] == code[-1])
     b, a = np.where(has_b, b, 0), np.where(has_a, a, 0)
+    b_, a_ = pa.array(b, mask=~has_b), pa.array(a, mask=~has_a)
     m = len(left)
     none_s, none_l = pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())
     cols = [
-        pa.array(np.full(m, part, np.int32)), pa.array(np.zeros(m, bool)), entity.take(pa.array(left)), pa.array(t[left]), pa.array(ids[left]),
-        pa.array(t[b], mask=~has_b), pa.array(ids[b], mask=~has_b), pa.array(t[a], mask=~has_a), pa.array(ids[a], mask=~has_a),
+        pa.array(np.full(m, part, np.int32)), pa.array(np.zeros(m, bool)), entity.take(pa.array(left)), pa.array(t[left]), ids.take(pa.array(left)),
+        pa.array(t[b], mask=~has_b), ids.take(b_), pa.array(t[a], mask=~has_a), ids.take(a_),
         pa.array(open_b), pa.array(open_a), none_s, none_l, none_l, none_s, none_l, none_l,
     ]
     names = [f.split()[0] for f in _SCANNED.split(", ")]
     if m:
         yield from pa.table(dict(zip(names, cols, strict=True))).to_batches(max_chunksize=50_000)
     r = np.nonzero(right)[0]
-    ends = [(entity[int(i)].as_py(), int(t[i]), int(ids[i])) for i in (r[0], r[-1])] if len(r) else [(None, None, None)] * 2
+    ends = [(entity[int(i)].as_py(), int(t[i]), ids[int(i)].as_py()) for i in (r[0], r[-1])] if len(r) else [(None, None, None)] * 2
     one = [part, True, None, None, None, None, None, None, None, None, None, *ends[0], *ends[1]]
     kinds = [c.type for c in cols]
     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one, kinds, strict=True)], names=names)
@@ -71,7 +72,9 @@ def nearest(
     The column triples are (entity, time, id); times are whole numbers of one unit, ids whole numbers. Among
     right records at one instant the smallest id stands; if one before and one after are equally near, the
     earlier. A right record at a left record's own instant counts as distance 0. Left records without partner
-    don't appear; rows with a null entity or time match nothing; left ids may repeat (each row is matched).
+    don't appear; rows with a null entity or time match
+    nothing, nor do right rows with a null id; left ids may repeat or be null (each row is matched). Empty tables
+    give no rows.
     """
     le, lt, li = left_cols
     re_, rt, ri = right_cols
@@ -79,7 +82,7 @@ def nearest(
     # One right record per instant: combined map-side, so neither an instant nor an entity can fill a task.
     rights = (
         right.select(re_.cast("string").alias("entity"), rt.cast("long").alias("t"), ri.cast("long").alias("id"))
-        .filter("entity is not null and t is not null").groupBy("entity", "t").agg(F.min("id").alias("id")).withColumn("right", F.lit(True))
+        .filter("entity is not null and t is not null and id is not null").groupBy("entity", "t").agg(F.min("id").alias("id")).withColumn("right", F.lit(True))
     )
     both = lefts.filter("entity is not null and t is not null").unionByName(rights)
     ordered = both.repartitionByRange("entity", "t", F.col("right").desc(), "id").sortWithinPartitions("entity", "t", F.col("right").desc(), "id")

@@ -24,10 +24,10 @@ from ..runtime import blocks
 SMALL = 64
 
 
-def pieces(ids: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pieces(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first token, length) of every piece: a text is cut only where it exceeds the capacity by itself."""
     n = -(-sizes // capacity)
-    row = np.repeat(np.arange(len(ids)), n)
+    row = np.repeat(np.arange(len(sizes)), n)
     k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     return row, k * capacity, np.minimum(capacity, sizes[row] - k * capacity)
 
@@ -102,14 +102,14 @@ def packed(sizes: DataFrame, packs: list[tuple[str, int]], method: str = "topped
         if not got:
             return
         t = pa.Table.from_batches(got)
-        ids, n = t["id"].to_numpy(), t["tokens"].to_numpy()
+        ids, n = t["id"].combine_chunks(), t["tokens"].to_numpy()  # ids may be null
         part = TaskContext.get().partitionId() << 40
         for name, capacity in packs:
-            row, start, length = pieces(ids, n, capacity)
+            row, start, length = pieces(n, capacity)
             where = part + place(length, capacity)
             out = pa.table({
                 "pack_name": pa.array([name] * len(row), pa.string()), "capacity_tokens": np.full(len(row), capacity),
-                "container_id": where, "id": ids[row], "first_token": start, "tokens": length,
+                "container_id": where, "id": ids.take(pa.array(row)), "first_token": start, "tokens": length,
             })
             yield from out.to_batches(max_chunksize=100_000)
 

@@ -195,7 +195,7 @@ def encoded(documents: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 
 def _unpack(b: pa.RecordBatch):
     """Of a batch: documents' ids, each token with its two predecessors and its segment, each segment's document, kind, length, paragraph."""
-    ids = b.column(0).to_numpy()
+    ids = b.column(0)
     seqs, kinds, chars, pars = (b.column(k).to_pylist() for k in range(1, 5))
     x = np.frombuffer(b"".join(seqs), np.uint8).astype(np.int32)
     prev = np.concatenate(([0], x[:-1]))
@@ -295,7 +295,7 @@ def page_scores(documents: DataFrame, id: str = "doc_id", text: str = "text") ->
                 odd = (kind != MACHINE) & ((score > high) | (score < low))
                 n = len(ids)
                 sums = [np.bincount(doc, chars * m, n).astype(np.int64) for m in (1, kind == MACHINE, odd)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, sums)], names=["doc_id", "chars", "machine_chars", "odd_chars"])
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, sums)], names=["doc_id", "chars", "machine_chars", "odd_chars"])
 
     return coded.mapInArrow(scan, "doc_id long, chars long, machine_chars long, odd_chars long")
 
