@@ -235,7 +235,7 @@ def surprisal(counts: list[tuple[int, int]], weight: float = 2.0) -> np.ndarray:
 
 
 def _segment_scores(b: pa.RecordBatch, model: np.ndarray):
-    """Mean surprisal of each segment; sentences get the mean over all sentences of their paragraph."""
+    """Mean surprisal of each segment and the tokens it is a mean of; sentences get those of all sentences of their paragraph."""
     ids, gram, seg, doc, kind, chars, par = _unpack(b)
     n = len(kind)
     total, tokens = np.bincount(seg, model[gram], n), np.bincount(seg, minlength=n)
@@ -244,9 +244,13 @@ def _segment_scores(b: pa.RecordBatch, model: np.ndarray):
     size = group.max() + 1 if n else 0
     ptotal, ptokens = np.bincount(group[likely], total[likely], size), np.bincount(group[likely], tokens[likely], size)
     score = np.where(likely, (ptotal / np.maximum(ptokens, 1))[group], total / np.maximum(tokens, 1))
-    return ids, doc, kind, chars, score
+    return ids, doc, kind, chars, score, np.where(likely, ptokens[group], tokens) if n else tokens
 
 
+#: A surprisal, in nats a token, that the classes of ordinary sentences may have in any corpus: a perplexity of 9.
+NORMAL = 2.2
+#: Tokens at which the bound for an abnormal mean lies 1.4 times as far out as for a long text.
+SHORT = 8
 _BINS = 2000  # of 0.01 nats
 
 
@@ -257,7 +261,7 @@ def score_histogram(coded: DataFrame, model: np.ndarray) -> list[int]:
         total = np.zeros(_BINS, np.int64)
         for b in batches:
             if b.num_rows:
-                _, _, kind, chars, score = _segment_scores(b, model)
+                _, _, kind, chars, score, _ = _segment_scores(b, model)
                 p = kind == PROSE
                 total += np.bincount(np.minimum((score[p] * 100).astype(int), _BINS - 1), chars[p], _BINS).astype(np.int64)
         at = np.nonzero(total)[0]
@@ -269,13 +273,16 @@ def score_histogram(coded: DataFrame, model: np.ndarray) -> list[int]:
     return out
 
 
-def thresholds(histogram: list[int], spread: float = 5.0) -> tuple[float, float]:
-    """Lowest and highest surprisal that is still normal: the median, less or plus `spread` times its distance to the outer tenths."""
+def thresholds(histogram: list[int], spread: float = 5.0) -> tuple[float, float, float]:
+    """Lowest, usual and highest surprisal that is still normal: the median, less or plus `spread` times its distance to the outer tenths.
+
+    A corpus of few, alike sentences says little of what prose may look like, so NORMAL is never abnormally high.
+    """
     n = np.cumsum(histogram)
     if not n[-1]:
-        return 0.0, 2.2
+        return 0.0, NORMAL / 2, NORMAL
     q = [float(np.searchsorted(n, n[-1] * p) + 0.5) / 100 for p in (0.1, 0.5, 0.9)]
-    return q[1] - spread * (q[1] - q[0]), q[1] + spread * max(q[2] - q[1], 0.05)
+    return q[1] - spread * (q[1] - q[0]), q[1], max(q[1] + spread * (q[2] - q[1]), NORMAL)
 
 
 def page_scores(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,13 +293,15 @@ def page_scores(documents: DataFrame, id: str = "doc_id", text: str = "text") ->
     """
     coded = stored(encoded(documents, id, text), "classes")
     model = surprisal([tuple(r) for r in trigram_counts(coded).collect()])  # bounded by ALPHABET**3
-    low, high = thresholds(score_histogram(coded, model))
+    low, usual, high = thresholds(score_histogram(coded, model))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                ids, doc, kind, chars, score = _segment_scores(b, model)
-                odd = (kind != MACHINE) & ((score > high) | (score < low))
+                ids, doc, kind, chars, score, tokens = _segment_scores(b, model)
+                # The mean over few tokens strays further.
+                most = usual + (high - usual) * np.sqrt(1 + SHORT / np.maximum(tokens, 1))
+                odd = (kind != MACHINE) & ((score > most) | (score < low))
                 n = len(ids)
                 sums = [np.bincount(doc, chars * m, n).astype(np.int64) for m in (1, kind == MACHINE, odd)]
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, sums)], names=["doc_id", "chars", "machine_chars", "odd_chars"])
