@@ -52,13 +52,15 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 class Telemetry:
-    """The views over one folder of tables."""
+    """The views over one folder of tables, or over DataFrames given by name."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str = "", tables: dict[str, DataFrame] | None = None):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.tables = spark, folder, tables or {}
 
     def table(self, name: str) -> DataFrame:
+        if name in self.tables:
+            return self.tables[name]
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def values(self, rows: list[tuple], schema: str) -> DataFrame:

@@ -54,3 +54,11 @@ class Ingest:
             "parsed_lines": derive.parsed_lines(log), "requests": derive.requests(log), "events": derive.events(log), "line_problems": derive.line_problems(log),
             "status_readings": derive.status_readings(spool), "rate_limit_windows": derive.rate_limit_windows(spool),
         }
+
+    def tables(self) -> dict[str, DataFrame]:
+        """What reports read: raw lines, source files and the derived tables."""
+        raw = self.raw.read()
+        ids = raw.groupBy("source_file_id", "root", "relative_path", "kind").agg(F.count("*").alias("line_count"))
+        state = self.state.read().select("root", "relative_path", "byte_offset")
+        source_files = ids.join(state, ["root", "relative_path"], "left").withColumn("size_bytes", F.col("byte_offset"))
+        return self.derived() | {"raw_lines": raw, "source_files": source_files}

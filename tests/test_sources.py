@@ -159,3 +159,17 @@ def test_repositories(spark):
     ask = {"/r/sub": "/r", "/gone": "/gone"}.get
     got = {r.cwd: (r.kind, r.repo_root, r.root_exists, r.resolved_via) for r in repositories.repositories(lines, [("/old", "repo", "/old", 1, "git", "t")], there.__contains__, ask).collect()}
     assert got == {"/r/sub": ("repo", "/r", 1, "git"), "/plain": ("not_git", None, None, "git"), "/gone/x": ("missing", "/gone", 1, "parent"), "/old": ("missing", "/old", 0, "last_known")}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from ledgerline.__main__ import main
+
+    root, out = tmp_path / "root", str(tmp_path / "store")
+    body = {"type": "assistant", "sessionId": "s", "uuid": "u", "requestId": "r", "timestamp": "2026-01-01T00:00:00Z", "message": {"id": "m", "model": "x", "usage": {"input_tokens": 1, "output_tokens": 2, "cache_read_input_tokens": 3}}}
+    write(root, "projects/a.jsonl", json.dumps(body).encode() + b"\n")
+    assert main(["ingest", str(root), out, "--run", "1"]) == 0 and "1 new lines" in capsys.readouterr().out
+    assert main(["explain", out, "by-model"]) == 0
+    assert capsys.readouterr().out.strip() == "x: report shows 2.0 | from the events 2.0"
+    assert main(["report", out, "--save", str(tmp_path)]) == 0
+    text = open(capsys.readouterr().out.strip()).read()
+    assert "OBSERVED" in text and "PROJECTED" in text and "unknown" in text
