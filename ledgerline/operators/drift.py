@@ -244,31 +244,48 @@ def _shared_words(a: Column, b: Column) -> Column:
 
 # --- the consistent table ---------------------------------------------------------------------------------
 
-_MAPPED = "raw_line_id long, source_file_id long, first_run_id long, carrier string, kinds map<string,string>, leaf map<string,string>"
+_MAPPED = (
+    "raw_line_id long, source_file_id long, first_run_id long, carrier string, kinds array<string>, leaf array<string>, "
+    "more_kinds map<string,string>, more_leaf map<string,string>"
+)
 
 
 def path_maps(lines: DataFrame, contract: Contract, id: str = "raw_line_id", body: str = "line_bytes") -> DataFrame:
-    """Each JSON-object line as path -> raw type and path -> value (strings as they are, anything else as JSON text)."""
-    through = contract.through
+    """Each JSON-object line as path -> raw type and path -> value (strings as they are, anything else as JSON text).
+
+    Listed paths are held by their position in the sorted contract, so that a typed column is read without a
+    search; unlisted ones by name.
+    """
+    through, place = contract.through, {p: i for i, p in enumerate(sorted(contract.paths()))}
+    width = len(place)
+    names = ["raw_line_id", "source_file_id", "first_run_id", "carrier", "kinds", "leaf", "more_kinds", "more_leaf"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            heads, kinds, leaf, ends, more = [], [], [], [0], []
             for i, f, r, raw in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if (line := parse_object(raw)) is None:
                     continue
-                kinds, leaf = [], []
+                heads.append((i, f, r, carrier_of(line)))
+                k, t = [None] * width, [None] * width
                 for path, v in leaves(line, through):
-                    kinds.append((path, json_type(v)))
-                    if v is not None:
-                        leaf.append((path, v if type(v) is str else json.dumps(v, ensure_ascii=False, separators=(",", ":"))))
-                out.append((i, f, r, carrier_of(line), kinds, leaf))
-            if out:
-                m = pa.map_(pa.string(), pa.string())
-                cols = zip(*out, strict=True)
-                kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.string(), m, m)
-                names = ["raw_line_id", "source_file_id", "first_run_id", "carrier", "kinds", "leaf"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_, strict=True)], names=names)
+                    kind = json_type(v)
+                    text = v if type(v) is str else None if v is None else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+                    at = place.get(path)
+                    if at is None:
+                        more.append((path, kind, text))
+                    else:
+                        k[at], t[at] = kind, text
+                kinds += k
+                leaf += t
+                ends.append(len(more))
+            if heads:
+                by = pa.array(range(0, len(kinds) + 1, width) if width else [0] * (len(heads) + 1), pa.int32())
+                keys, mk, ml = ([x[j] for x in more] for j in range(3))
+                of = lambda items: pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), pa.array(items, pa.string()))
+                cols = [pa.array(c, x) for c, x in zip(zip(*heads, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+                cols += [pa.ListArray.from_arrays(by, pa.array(x, pa.string())) for x in (kinds, leaf)] + [of(mk), of(ml)]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return lines.select(F.col(id).cast("long"), F.col("source_file_id").cast("long"), F.col("first_run_id").cast("long"), F.col(body)).mapInArrow(scan, _MAPPED)
 
@@ -296,11 +313,10 @@ def unified(mapped: DataFrame, changed: DataFrame, contract: Contract) -> DataFr
     for (p, c), (t, form, _) in contract.fields.items():
         by_path.setdefault(p, {})[c] = (t, form)
     out, reports = [], []
-    for path, carriers in sorted(by_path.items()):
-        at = F.coalesce(F.element_at("swap", path), F.lit(path)) if path in contract.paths() else F.lit(path)
-        direct = F.element_at("kinds", path)
-        kind = F.coalesce(direct, F.element_at("kinds", at))
-        text = F.when(direct.isNotNull(), F.element_at("leaf", path)).otherwise(F.element_at("leaf", at))
+    for i, (path, carriers) in enumerate(sorted(by_path.items())):
+        direct, swapped = F.col("kinds")[i], F.when(F.col("swap").isNotNull(), F.element_at("swap", path))
+        kind = F.coalesce(direct, F.when(swapped.isNotNull(), F.element_at("more_kinds", swapped)))
+        text = F.when(direct.isNotNull(), F.col("leaf")[i]).otherwise(F.when(swapped.isNotNull(), F.element_at("more_leaf", swapped)))
         bits = 0
         for t, _ in carriers.values():
             bits |= t
