@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_BOTTOM = -(1 << 63)
-
 
 def _nearest(left: DataFrame, right: DataFrame, by: list[str], lt: Column, rt: Column, tie: Column, strict: bool, take: list[str], prefix: str, bucket: int) -> DataFrame:
     """lt and rt grow towards the wanted side; of right rows with equal time the largest tie wins."""
@@ -29,11 +27,9 @@ def _nearest(left: DataFrame, right: DataFrame, by: list[str], lt: Column, rt: C
         r.select(*by, at, "_got", F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.lit(0 if not strict else 1).alias(side))
     ).withColumn("_b", F.floor(F.col(at) / bucket))
     local = W.partitionBy(*by, "_b").orderBy(at, side, F.col("_got.tie").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    per = r.withColumn("_b", F.floor(F.col(at) / bucket)).groupBy(*by, "_b").agg(F.max("_got").alias("_last"))
     # Every bucket that holds rows of either side takes the last right row of the buckets before it.
     wanted = both.groupBy(*by, "_b").agg(F.max("_got").alias("_last"))
     carried = wanted.select(*by, "_b", F.last("_last", ignorenulls=True).over(W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
-    del per
     found = both.withColumn("_local", F.last("_got", ignorenulls=True).over(local)).filter(F.col("_row").isNotNull()).join(carried, [*by, "_b"], "left")
     hit = F.coalesce("_local", "_carried")
     out = found.select("_row.*", *[hit[f"v{i}"].alias(prefix + c) for i, c in enumerate(take)])

@@ -47,7 +47,7 @@ def length_s(window: Column) -> Column:
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group; with few groups' rows each, or a hash-friendly maximum otherwise."""
+    """The first row of each group: for groups of a few copies."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
