@@ -48,13 +48,17 @@ ALPHABET = len(CLASSES)
 _ID = {c: i for i, c in enumerate(CLASSES)}
 _WORD_ID = {w: _ID[k] for k in reversed(_KINDS) for w in CLOSED[k].split()}
 
-_TOKEN = re.compile(
+_AGAIN, _CODE, _OPEN_AT = _ID["again"], _ID["code"], [0, *(_ID[f"open{i}"] for i in range(1, RUN + 1))]
+
+_KINDS_OF_TOKENS = re.compile(
     r"(?P<link>h(?:tt|xx)ps?://\S+|www\.\S+|[\w-]{1,63}(?:(?:\.|\[\.\])[\w-]{1,63}){0,20}(?:\.|\[\.\])[a-z]{2,}(?:/\S*|\?\S*)?(?![\w.]))"
     r"|(?P<tag>[#@]\w[\w'’-]*)"
     r"|(?P<number>\d+(?:[.,:]\d+)*(?!\w))"
     r"|(?P<word>\w+(?:['’@]\w+)*)"
     r"|(?P<mark>[^\w\s])"
 )
+#: The same without groups, for cutting.
+_TOKEN = re.compile(re.sub(r"\(\?P<\w+>", "(?:", _KINDS_OF_TOKENS.pattern))
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+")
 _INVISIBLE = dict.fromkeys((0x200B, 0xFEFF, 0xAD, 0x200C, 0x200D, 0x2060)) | {0xA0: " ", 0x202F: " "}
 _ITEM = re.compile(r"(?:[-*•]|\d+[.)])?\s*\[[^\]]*\]\([^)\s]*\)")
@@ -92,35 +96,50 @@ def is_machine(line: str) -> bool:
     return not (_LINKY.search(line) and "=" not in line.partition("?")[0] and '"' not in line and "{" not in line)
 
 
+#: What each token is by itself: (class, or 0 for an open word; whether it is closed; an open word's plain form; its own class).
+_KNOWN: dict[str, tuple[int, bool, str, int]] = {}
+
+
+def _learn(s: str) -> tuple[int, bool, str, int]:
+    kind = _KINDS_OF_TOKENS.match(s).lastgroup
+    if kind == "mark":
+        info = (_ID.get(s, _ID["other"]), False, "", 0)
+    elif kind != "word":
+        info = (_ID[kind], False, "", 0)
+    else:
+        low = s.lower()
+        c = _WORD_ID.get(low)
+        whole = c is not None
+        if c is None and _APOSTROPHE.search(low):
+            c = _WORD_ID.get(_APOSTROPHE.split(low)[0])
+        plain = low.translate(_LOOKALIKE)
+        own = 0 if plain == low and "_" not in low and s.islower() else _ID["title"] if plain == low and "_" not in low else _ID["code"]
+        info = (c or 0, whole, plain, own)
+    if len(_KNOWN) >= 200_000:
+        _KNOWN.clear()
+    _KNOWN[s] = info
+    return info
+
+
 def classes_of(segment: str, recent: deque[str] | None = None) -> bytes:
     """The classes of a segment's tokens, without the end. recent: the text's last open words; it is brought up to date."""
     out, run, seen = bytearray(), 0, set()
     recent = deque(maxlen=RECENT) if recent is None else recent
-    tokens = [(m.lastgroup, m.group()) for m in _TOKEN.finditer(segment)]
-    bare = not any(k == "word" and s.lower() in _WORD_ID for k, s in tokens)
-    for kind, s in tokens:
-        if kind == "mark":
-            c = _ID.get(s, _ID["other"])
-        elif kind != "word":
-            c = _ID[kind]
-        else:
-            low = s.lower()
-            c = _WORD_ID.get(low) or (_WORD_ID.get(_APOSTROPHE.split(low)[0]) if _APOSTROPHE.search(low) else None)
-            if c is not None:
-                run = 0
+    tokens = [_KNOWN.get(s) or _learn(s) for s in _TOKEN.findall(segment)]
+    bare = not any(t[1] for t in tokens)
+    for c, _, plain, own in tokens:
+        if not c:
+            run += 1
+            if plain in seen or (bare and plain in recent):
+                c = _AGAIN
+            elif own == _CODE or (own and run == 1):
+                c = own
             else:
-                run += 1
-                plain = low.translate(_LOOKALIKE)
-                if plain in seen or (bare and plain in recent):
-                    c = _ID["again"]
-                elif plain != low or "_" in low:
-                    c = _ID["code"]
-                elif run == 1 and not s.islower():
-                    c = _ID["title"]
-                else:
-                    c = _ID[f"open{min(run, RUN)}"]
-                seen.add(plain)
-                recent.append(plain)
+                c = _OPEN_AT[run if run < RUN else RUN]
+            seen.add(plain)
+            recent.append(plain)
+        elif plain:
+            run = 0
         out.append(c)
     return bytes(out)
 
