@@ -91,17 +91,17 @@ def _priced(spark, t) -> DataFrame:
     return m.withColumn("unpriced_reason", F.when(F.col("flag").isNull(), "no_price_row").when(F.col("l_quantity") > 45, "rate_unverified"))
 
 
-@query(f"SELECT l_returnflag, unpriced_reason, count(*) AS n, round(sum(CASE WHEN unpriced_reason IS NULL THEN l_extendedprice * rate END), 2) AS cost FROM ({_PRICED}) GROUP BY 1, 2")
+@query(f"SELECT l_returnflag, unpriced_reason, count(*) AS n, round(sum(CASE WHEN unpriced_reason IS NULL THEN l_extendedprice * rate END), 4) AS cost FROM ({_PRICED}) GROUP BY 1, 2")
 def q06_scd_price_cost(spark, t):
     cost = F.when(F.col("unpriced_reason").isNull(), F.col("l_extendedprice") * F.col("rate"))
-    return _priced(spark, t).groupBy("l_returnflag", "unpriced_reason").agg(F.count("*").alias("n"), F.round(F.sum(cost), 2).alias("cost"))
+    return _priced(spark, t).groupBy("l_returnflag", "unpriced_reason").agg(F.count("*").alias("n"), F.round(F.sum(cost), 4).alias("cost"))
 
 
 @query(f"""SELECT m.*, (SELECT arg_max(name, since) FROM (VALUES ('1993-01', 'first'), ('1995-07', 'second'), ('1997-01', 'third')) p(since, name) WHERE since <= month) AS plan_name
-FROM (SELECT month, count(*) AS lines, count(*) FILTER (WHERE unpriced_reason IS NULL) AS priced, CASE WHEN count(*) FILTER (WHERE unpriced_reason IS NULL) > 0 THEN round(sum(l_extendedprice * rate) FILTER (WHERE unpriced_reason IS NULL), 2) END AS cost FROM ({_PRICED}) GROUP BY 1) m""")
+FROM (SELECT month, count(*) AS lines, count(*) FILTER (WHERE unpriced_reason IS NULL) AS priced, CASE WHEN count(*) FILTER (WHERE unpriced_reason IS NULL) > 0 THEN round(sum(l_extendedprice * rate) FILTER (WHERE unpriced_reason IS NULL), 4) END AS cost FROM ({_PRICED}) GROUP BY 1) m""")
 def q07_monthly_list_price(spark, t):
     ok = F.col("unpriced_reason").isNull()
-    m = _priced(spark, t).groupBy("month").agg(F.count("*").alias("lines"), F.count_if(ok).alias("priced"), F.round(F.sum(F.when(ok, F.col("l_extendedprice") * F.col("rate"))), 2).alias("cost"))
+    m = _priced(spark, t).groupBy("month").agg(F.count("*").alias("lines"), F.count_if(ok).alias("priced"), F.round(F.sum(F.when(ok, F.col("l_extendedprice") * F.col("rate"))), 4).alias("cost"))
     p = periods.lead_periods(spark.createDataFrame(MONTH_PLANS, "since string, plan_name string"), "since", "until")
     return periods.place(m, p, F.col("month"), "since", "until").select("month", "lines", "priced", "cost", "plan_name")
 
@@ -301,7 +301,7 @@ def q26_recursive_walk(spark, t):
     return out.select("start", F.coalesce("stop", F.lit(-1)).alias("stop"), "passed")
 
 
-@query("""SELECT coalesce(a.target, n_name) AS nation, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS lines, count(a.target) AS aliased
+@query("""SELECT coalesce(a.target, n_name) AS nation, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, count(*) AS lines, count(a.target) AS aliased
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT min(n_name) AS source, max(n_name) AS target FROM nation WHERE n_regionkey = 1) a ON a.source = n_name GROUP BY 1""")
 def q27_region_attribution(spark, t):
     n = t("nation").select("n_nationkey", "n_name", "n_regionkey")  # 25 rows by definition
@@ -309,7 +309,7 @@ def q27_region_attribution(spark, t):
     names = n.join(F.broadcast(a), n["n_name"] == a["source"], "left").select("n_nationkey", "n_name", "target")
     rows = t("lineitem").select("l_orderkey", "l_extendedprice", "l_discount").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(names), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy(F.coalesce("target", "n_name").alias("nation")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("lines"), F.count("target").alias("aliased"))
+    return rows.groupBy(F.coalesce("target", "n_name").alias("nation")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"), F.count("*").alias("lines"), F.count("target").alias("aliased"))
 
 
 @query("SELECT n_name AS nation, round(sum(o_totalprice), 2) AS total, round(sum(o_totalprice) / nullif(sum(sum(o_totalprice)) OVER (), 0), 6) AS share FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
