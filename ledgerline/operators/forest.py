@@ -15,7 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import blocks, checked_broadcast, drop, stored
@@ -130,13 +132,15 @@ def _double(links: DataFrame, rows: int) -> DataFrame:
     return links.select("id", F.when(F.col("open"), CYCLE).otherwise(F.col("pid")).alias("pid"), "w", F.lit(False).alias("open"))
 
 
-def rooted(links: DataFrame, block_links: int = BLOCK_LINKS) -> DataFrame:
+def rooted(links: DataFrame, block_links: int = BLOCK_LINKS, weight: str | None = None) -> DataFrame:
     """id, root, depth for links (id unique, pid null for roots; every other pid is an id of links).
 
+    weight: a column with a link's length (not negative, never null); depth is then the sum of lengths up to the root.
     Nodes on a cycle or below one get root and depth -1. An empty input gives an empty result.
     """
     spark = links.sparkSession
-    level = links.select(F.col("id").cast("long").alias("id"), F.col("pid").cast("long").alias("pid"), F.lit(1).cast("long").alias("w"), F.col("pid").isNotNull().alias("open"))
+    w = F.lit(1) if weight is None else F.col(weight)
+    level = links.select(F.col("id").cast("long").alias("id"), F.col("pid").cast("long").alias("pid"), w.cast("long").alias("w"), F.col("pid").isNotNull().alias("open"))
     level = stored(level, "links")
     rows = level.count()
     parts = blocks(spark, rows, block_links)
@@ -258,6 +262,51 @@ def descendant_counts(links: DataFrame, block_links: int = BLOCK_LINKS, placed:
     return sums.select("id", (F.col("total") - 1).alias("descendants"))
 
 
+def _siblings_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range of (pid, id): the sizes of each node's earlier siblings in the range; sum, of parents at the range's ends, all of theirs."""
+    got = list(batches)
+    if not sum(b.num_rows for b in got):
+        return
+    t = pa.Table.from_batches(got)
+    ids, pid, size = (t[c].to_numpy() for c in ("id", "pid", "size"))
+    order = np.lexsort((ids, pid))
+    ids, pid, size = ids[order], pid[order], size[order]
+    n = len(ids)
+    new = np.append(True, pid[1:] != pid[:-1])
+    before = np.cumsum(size) - size
+    before = before - before[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+    ends = np.append(new[1:], True) & ((pid == pid[0]) | (pid == pid[-1]))
+    out = pa.table({
+        "id": ids, "pid": pid, "part": np.full(n, TaskContext.get().partitionId(), np.int64), "before": before, "sum": pa.array(before + size, mask=~ends),
+    })
+    yield from out.to_batches(max_chunksize=100_000)
+
+
+def preorder(links: DataFrame, block_links: int = BLOCK_LINKS, placed: DataFrame | None = None) -> DataFrame:
+    """id, root, position, descendants: every node's descendants as a range, one row a node.
+
+    position counts a tree's nodes from 0 at the root, each before the nodes below it and siblings by id. The nodes
+    below a node are those of its root with a position in (position, position + descendants]. A node stands 1 and
+    the sizes of its earlier siblings behind its parent, so positions are depths over links of that length; siblings
+    are summed by ranges of (pid, id), so no task holds more than a block of them. Nodes without root don't appear.
+    """
+    placed = rooted(links, block_links) if placed is None else placed
+    sizes = stored(descendant_counts(links, block_links, placed), "sizes")
+    sized = stored(links.select("id", "pid").join(sizes.select("id", (F.col("descendants") + 1).alias("size")), "id"), "sized")
+    below = sized.filter("pid is not null")
+    rows = below.count()
+    parts = blocks(links.sparkSession, rows, block_links)
+    ranged = below.repartitionByRange(parts, "pid", "id") if parts > 1 else below.coalesce(1)
+    local = stored(ranged.mapInArrow(_siblings_arrow, "id long, pid long, part long, before long, sum long"), "siblings")
+    # At most two rows a range.
+    earlier = F.sum("sum").over(W.partitionBy("pid").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    carried = local.filter("sum is not null").select(F.col("pid").alias("_pid"), F.col("part").alias("_part"), earlier.alias("_c")).filter("_c is not null")
+    behind = local.join(F.broadcast(carried), (F.col("pid") == F.col("_pid")) & (F.col("part") == F.col("_part")), "left")
+    behind = behind.select("id", "pid", (F.col("before") + F.coalesce("_c", F.lit(0)) + 1).alias("w"))
+    tops = sized.filter("pid is null").select("id", "pid", F.lit(0).cast("long").alias("w"))
+    return rooted(behind.unionByName(tops), block_links, "w").withColumnRenamed("depth", "position").join(sizes, "id")
+
+
 def descendants(links: DataFrame, asked: DataFrame) -> DataFrame:
     """ancestor, id: every node below each asked node (asked: id). The forest is cut at the asked nodes and solved once.
 

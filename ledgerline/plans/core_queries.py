@@ -112,6 +112,12 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return forest.descendant_counts(links, placed=placed).select(F.col("id").alias("raw_line_id"), "descendants")
 
 
+def p3_preorder(spark: SparkSession, d: str) -> DataFrame:
+    """Which nodes lie below each node: those of its root with a position in (position, position + descendants]."""
+    links, placed = _placed_links(spark, d)
+    return forest.preorder(links, placed=placed).select(F.col("id").alias("raw_line_id"), F.col("root").alias("root_line_id"), "position", "descendants")
+
+
 _TREE = """WITH RECURSIVE node AS (
   SELECT session_id AS s, uuid AS u, min(raw_line_id) AS id, min(parent_uuid) AS p
   FROM parsed_lines WHERE session_id IS NOT NULL AND uuid IS NOT NULL GROUP BY 1, 2),
@@ -126,6 +132,10 @@ SELECT id AS raw_line_id, root AS root_line_id, CAST(depth AS BIGINT) AS depth,
 P3_DESCENDANTS_SQL = _TREE + """
 SELECT id AS raw_line_id, count(below.a) AS descendants FROM walk LEFT JOIN (SELECT unnest(path[:-2]) AS a FROM walk) below ON below.a = id GROUP BY id
 """
+P3_PREORDER_SQL = _TREE + """
+SELECT w.id AS raw_line_id, w.root AS root_line_id, row_number() OVER (PARTITION BY w.root ORDER BY w.path) - 1 AS position, coalesce(b.n, 0) AS descendants
+FROM walk w LEFT JOIN (SELECT a, count(*) AS n FROM (SELECT unnest(path[:-2]) AS a FROM walk) GROUP BY a) b ON b.a = w.id
+"""
 
-QUERIES = {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants}
-SQL = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_paths": P3_PATHS_SQL, "p3_descendants": P3_DESCENDANTS_SQL}
+QUERIES = {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_preorder": p3_preorder}
+SQL = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_paths": P3_PATHS_SQL, "p3_descendants": P3_DESCENDANTS_SQL, "p3_preorder": P3_PREORDER_SQL}

@@ -110,3 +110,25 @@ def test_paths_and_descendants(spark):
     some = sorted(good)[:5]
     got = {(r.ancestor, r.id) for r in forest.descendants(df, spark.createDataFrame([(x,) for x in some], "id long")).collect()}
     assert got == {(a, x) for x in good for a in whole(x)[:-1] if a in some}
+
+
+@pytest.mark.parametrize("block", [10_000, 40])
+def test_preorder_gives_every_descendant(spark, block):
+    links = random_links(300, 9, True)
+    up, want = dict(links), brute(links)
+    rows = forest.preorder(spark.createDataFrame(links, "id long, pid long"), block).collect()
+    at = {(r.root, r.position): r.id for r in rows}
+    assert {r.id: r.root for r in rows} == {x: root for x, (root, _) in want.items() if root != -1} and len(at) == len(rows)
+    got = {(r.id, at[r.root, p]) for r in rows for p in range(r.position + 1, r.position + r.descendants + 1)}
+    pairs = set()
+    for r in rows:
+        x = r.id
+        while (x := up[x]) is not None:
+            pairs.add((x, r.id))
+    assert got == pairs
+    for a, b in zip(ordered := sorted(rows, key=lambda r: (up[r.id] or 0, r.id)), ordered[1:]):  # siblings stand by id
+        assert up[a.id] is None or up[a.id] != up[b.id] or a.position < b.position
+
+
+def test_preorder_empty(spark):
+    assert forest.preorder(spark.createDataFrame([], "id long, pid long")).collect() == []
