@@ -215,7 +215,8 @@ def _sum_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.argsort(t["id"].to_numpy(), kind="stable")
     has = pid.is_valid().to_numpy(zero_copy_only=False)[order]
     up = pid.fill_null(0).to_numpy(zero_copy_only=False)[order]
-    ids, total = t["id"].to_numpy()[order], t["weight"].to_numpy()[order].tolist()
+    ids, weight = t["id"].to_numpy()[order], t["weight"].to_numpy()[order]
+    total = weight.tolist()
     n = len(ids)
     at = np.searchsorted(ids, up)
     at[at == n] = 0
@@ -225,15 +226,18 @@ def _sum_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for i in np.argsort(-dist, kind="stable").tolist():
         if inside[i]:
             total[parent[i]] += total[i]
-    out = pa.table({"id": ids, "top": root, "total": pa.array(total, pa.int64()), "ext": pa.array(up, mask=~(has & ~inside))})
+    out = pa.table({
+        "id": ids, "pid": pa.array(up, mask=~has), "weight": weight, "top": root, "total": pa.array(total, pa.int64()), "ext": pa.array(up, mask=~(has & ~inside)),
+        "part": np.full(n, TaskContext.get().partitionId(), np.int32),
+    })
     yield from out.to_batches(max_chunksize=100_000)
 
 
 def _subtree_sums(tree: DataFrame, rows: int, parts: int, block_links: int) -> DataFrame:
     """id, total for a forest (id, pid, weight) without cycles: block sums, then the tree of block roots, then the blocks again."""
-    ranged = lambda df: df.repartitionByRange(parts, "id") if parts > 1 else df.coalesce(1)
-    schema = "id long, top long, total long, ext long"
-    local = stored(ranged(tree).mapInArrow(_sum_arrow, schema), "sums")
+    ranged = tree.repartitionByRange(parts, "id") if parts > 1 else tree.coalesce(1)
+    schema = "id long, pid long, weight long, top long, total long, ext long, part int"
+    local = stored(ranged.mapInArrow(_sum_arrow, schema), "sums")
     crossing = local.filter("ext is not null").select(F.col("id").alias("x"), "ext", F.col("total").alias("weight"))
     count = crossing.count() if parts > 1 else 0
     if not count:
@@ -248,8 +252,9 @@ def _subtree_sums(tree: DataFrame, rows: int, parts: int, block_links: int) -> D
         raise ValueError("ids of this forest have no locality: renumber its nodes along the trees first")
     above = _subtree_sums(upper, size, fewer, block_links)
     extra = crossing.select(F.col("x").alias("id"), "ext").join(above, "id").groupBy(F.col("ext").alias("id")).agg(F.sum("total").alias("_extra"))
-    again = tree.join(extra, "id", "left").select("id", "pid", (F.col("weight") + F.coalesce("_extra", F.lit(0))).alias("weight"))
-    return ranged(again).mapInArrow(_sum_arrow, schema).select("id", "total")
+    # The same blocks again: ranges are sampled, and would fall elsewhere a second time.
+    again = local.join(extra, "id", "left").select("id", "pid", (F.col("weight") + F.coalesce("_extra", F.lit(0))).alias("weight"), "part")
+    return again.repartitionById(parts, "part").drop("part").mapInArrow(_sum_arrow, schema).select("id", "total")
 
 
 def descendant_counts(links: DataFrame, block_links: int = BLOCK_LINKS, placed: DataFrame | None = None) -> DataFrame:

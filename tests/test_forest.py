@@ -132,3 +132,10 @@ def test_preorder_gives_every_descendant(spark, block):
 
 def test_preorder_empty(spark):
     assert forest.preorder(spark.createDataFrame([], "id long, pid long")).collect() == []
+
+
+def test_descendants_over_blocks_cut_from_samples(spark):
+    n = 60_000
+    df = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("pid"))
+    wrong = forest.descendant_counts(df, 10_000).filter(F.col("descendants") != n - 1 - F.col("id"))
+    assert wrong.count() == 0
