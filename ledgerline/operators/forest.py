@@ -233,8 +233,31 @@ def _sum_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out.to_batches(max_chunksize=100_000)
 
 
+def _doubled_sums(tree: DataFrame, rows: int) -> DataFrame:
+    """id, total for a forest (id, pid, weight) without cycles whose ids have no locality: pointer doubling by joins.
+
+    After k rounds total holds the weights less than 2**k links below a node, and up is its ancestor 2**k links above.
+    Each round adds to every node the totals of those that point at it: log2(depth) rounds.
+    """
+    now = stored(tree.select("id", F.col("pid").alias("up"), F.col("weight").alias("total")), "doubled")
+    for _ in range(max(1, rows).bit_length() + 1):
+        rising = now.filter("up is not null")
+        if rising.isEmpty():
+            return now.select("id", "total")
+        more = rising.groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("_more"))
+        ahead = rising.select(F.col("id").alias("_id"), F.col("up").alias("_up"))
+        grown = now.join(more, "id", "left").join(ahead, F.col("up") == F.col("_id"), "left")
+        following = stored(grown.select("id", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total")), "doubled")
+        drop(now)
+        now = following
+    raise ValueError("a forest with a cycle has no subtree sums")
+
+
 def _subtree_sums(tree: DataFrame, rows: int, parts: int, block_links: int) -> DataFrame:
-    """id, total for a forest (id, pid, weight) without cycles: block sums, then the tree of block roots, then the blocks again."""
+    """id, total for a forest (id, pid, weight) without cycles: block sums, then the tree of block roots, then the blocks again.
+
+    Where the tree of block roots doesn't shrink, it is summed by pointer doubling.
+    """
     ranged = tree.repartitionByRange(parts, "id") if parts > 1 else tree.coalesce(1)
     schema = "id long, pid long, weight long, top long, total long, ext long, part int"
     local = stored(ranged.mapInArrow(_sum_arrow, schema), "sums")
@@ -248,9 +271,7 @@ def _subtree_sums(tree: DataFrame, rows: int, parts: int, block_links: int) -> D
     upper = stored(linked.select(F.col("x").alias("id"), "pid", "weight").unionByName(tops.join(linked.select(F.col("pid").alias("id")).distinct(), "id", "left_semi")), "upper")
     size = upper.count()
     fewer = 1 if size <= block_links else max(1, math.ceil(size / block_links), parts // FAN_IN)
-    if fewer >= parts:
-        raise ValueError("ids of this forest have no locality: renumber its nodes along the trees first")
-    above = _subtree_sums(upper, size, fewer, block_links)
+    above = _subtree_sums(upper, size, fewer, block_links) if fewer < parts else _doubled_sums(upper, size)
     extra = crossing.select(F.col("x").alias("id"), "ext").join(above, "id").groupBy(F.col("ext").alias("id")).agg(F.sum("total").alias("_extra"))
     # The same blocks again: ranges are sampled, and would fall elsewhere a second time.
     again = local.join(extra, "id", "left").select("id", "pid", (F.col("weight") + F.coalesce("_extra", F.lit(0))).alias("weight"), "part")

@@ -134,6 +134,31 @@ def test_preorder_empty(spark):
     assert forest.preorder(spark.createDataFrame([], "id long, pid long")).collect() == []
 
 
+@pytest.mark.parametrize(("seed", "block"), [(3, 40), (4, 7)])
+def test_descendants_where_ids_have_no_locality(spark, seed, block):
+    links = random_links(300, seed, False)
+    top = max(x for x, _ in links) + 1  # a parent whose children fill many blocks
+    links += [(top, None), *((top + i, top) for i in range(1, 150)), (top + 150, top + 7)]
+    up, want = dict(links), brute(links)
+    below = {x: set() for x in up if want[x][0] != -1}
+    for x in below:
+        y = x
+        while (y := up[y]) is not None:
+            below[y].add(x)
+    df = spark.createDataFrame(links, "id long, pid long")
+    assert {r.id: r.descendants for r in forest.descendant_counts(df, block).collect()} == {x: len(s) for x, s in below.items()}
+    rows = forest.preorder(df, block).collect()
+    at = {(r.root, r.position): r.id for r in rows}
+    assert {r.id: {at[r.root, p] for p in range(r.position + 1, r.position + r.descendants + 1)} for r in rows} == below
+
+
+def test_descendants_of_a_scattered_chain(spark):
+    n = 1000
+    df = spark.range(n).select((F.col("id") * 387 % n).alias("id"), F.when(F.col("id") > 0, (F.col("id") - 1) * 387 % n).alias("pid"))
+    got = {r.id: r.descendants for r in forest.descendant_counts(df, 100).collect()}
+    assert got == {i * 387 % n: n - 1 - i for i in range(n)}
+
+
 def test_descendants_over_blocks_cut_from_samples(spark):
     n = 60_000
     df = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("pid"))
