@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import copies, forest
+from ..operators.components import components
 from ..runtime import stored
 
 #: Something besides white space, no-break spaces, zero-width spaces and byte order marks.
@@ -48,40 +49,59 @@ def jump_to_end(pointers: DataFrame) -> DataFrame:
     raise ValueError("pointers run in a circle")
 
 
-def message_nodes(lines: DataFrame, requests: DataFrame) -> DataFrame:
-    """One stored row per node: its parent's key, what its rows say, and the identifiers of its request rows as hashes."""
-    r = requests.select("raw_line_id", "message_id", "request_id")
+def copy_labels(lines: DataFrame, requests: DataFrame) -> DataFrame:
+    """raw_line_id, copy_group of each row of requests with an identifier: equal for copies by p2, whichever rows link them."""
+    asked = lines.filter("line_class = 'request'").select("raw_line_id", "session_id")
+    r = requests.select("raw_line_id", "message_id", "request_id").filter("message_id is not null or request_id is not null").join(asked, "raw_line_id", "left")
+    by = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(F.coalesce("session_id", F.lit("<missing>")), c))
+    r = stored(r.select("raw_line_id", by("message_id").alias("primary"), by("request_id").alias("secondary")), "request-ids")
+    triples = r.select(F.lit(0).alias("scope"), "primary", "secondary").distinct()
+    by_secondary, by_primary = copies.identifier_labels(stored(triples, "identifiers"))
+    named = r.filter("primary is not null").select("raw_line_id", F.col("primary").alias("copy_group"))
+    if by_primary is not None:
+        named = named.join(by_primary.select(F.col("primary").alias("copy_group"), "label"), "copy_group", "left").select("raw_line_id", F.coalesce("label", "copy_group").alias("copy_group"))
+    bare = r.filter("primary is null").join(by_secondary.select("secondary", "label"), "secondary", "left")
+    return stored(named.unionByName(bare.select("raw_line_id", F.coalesce("label", "secondary").alias("copy_group"))), "copy-groups")
+
+
+def message_nodes(lines: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One stored row per node: its parent's key, what its rows say, and copy_group, the smallest of its request rows.
+
+    The second table has id, copy_group and other of the nodes whose rows belong to further groups of copies.
+    """
     rows = lines.filter("session_id is not null and uuid is not null").select(
         "raw_line_id", "session_id", "uuid", "parent_uuid", "line_class", "line_type", "is_sidechain", "is_meta", F.col("message_text").rlike(SHOWS).alias("shows")
     )
     is_request = F.col("line_class") == "request"
-    asks, other = rows.filter(is_request).join(r, "raw_line_id", "left"), rows.filter(~is_request | is_request.isNull())
-    none = F.lit(None).cast("string")
-    rows = asks.unionByName(other.withColumns({"message_id": none, "request_id": none}))
+    labels = copy_labels(lines, requests)
+    asks, other = rows.filter(is_request).join(labels, "raw_line_id", "left"), rows.filter(~is_request | is_request.isNull())
+    rows = asks.unionByName(other.withColumn("copy_group", F.lit(None).cast("long")))
     any_ = lambda c: F.coalesce(F.max(F.when(c, True)), F.lit(False))
-    by = lambda c: F.min(F.when(F.col(c).isNotNull(), F.xxhash64("session_id", c)))
-    return stored(
+    nodes = stored(
         forest.nodes_of(
             rows, "raw_line_id", ["session_id"], "uuid", "parent_uuid",
             any_((F.col("line_type") == "user") & (F.col("is_meta") == 0)).alias("is_user"), any_(is_request).alias("is_request"),
             any_(F.col("is_sidechain") == 0).alias("is_main"), any_(F.col("shows")).alias("shows"),
-            by("message_id").alias("primary"), by("request_id").alias("secondary"),
+            F.min("copy_group").alias("copy_group"), F.max("copy_group").alias("last_group"),
         ),
         "nodes",
     )
+    h = forest.key128([F.col("session_id")], F.col("uuid"))
+    many = nodes.filter("copy_group <> last_group").select("h1", "h2", "id", "copy_group")
+    further = asks.select(h[0].alias("h1"), h[1].alias("h2"), F.col("copy_group").alias("other")).join(many, ["h1", "h2"]).filter("other <> copy_group")
+    further = further.select("id", "copy_group", "other").distinct()
+    return nodes.drop("last_group"), further if not many.isEmpty() else further.limit(0)
 
 
-def _with_groups(nodes: DataFrame) -> DataFrame:
-    """nodes with copy_group: equal for request nodes that share copies, null for all others."""
-    asks = nodes.filter("is_request and (primary is not null or secondary is not null)")
-    triples = asks.select(F.lit(0).alias("scope"), "primary", "secondary").distinct()
-    by_secondary, by_primary = copies.identifier_labels(stored(triples, "identifiers"))
-    bare = F.col("is_request") & F.col("primary").isNull() & F.col("secondary").isNotNull()
-    named = nodes.filter(~bare).withColumn("copy_group", F.when(F.col("is_request"), F.col("primary")))
-    if by_primary is not None:
-        named = named.join(by_primary.select(F.col("primary").alias("copy_group"), "label"), "copy_group", "left").withColumn("copy_group", F.coalesce("label", "copy_group")).drop("label")
-    rest = nodes.filter(bare).join(by_secondary.select("secondary", "label"), "secondary", "left").withColumn("copy_group", F.coalesce("label", "secondary")).drop("label")
-    return named.unionByName(rest)
+def _joined_groups(talk: DataFrame, further: DataFrame) -> DataFrame:
+    """talk with one copy_group for all groups that a speaking node of the same tree joins."""
+    edges = stored(further.join(talk.filter("copy_group is not null").select("id", "root"), "id").select(
+        F.struct("root", F.col("copy_group").alias("g")).alias("a"), F.struct("root", F.col("other").alias("g")).alias("b")
+    ).distinct(), "group-links")
+    if edges.isEmpty():
+        return talk
+    joined = components(edges).select(F.col("node.root").alias("root"), F.col("node.g").alias("copy_group"), F.col("component.g").alias("_g"))
+    return talk.join(joined, ["root", "copy_group"], "left").withColumn("copy_group", F.coalesce("_g", "copy_group")).drop("_g")
 
 
 def conversations(lines: DataFrame, requests: DataFrame) -> DataFrame:
@@ -91,7 +111,7 @@ def conversations(lines: DataFrame, requests: DataFrame) -> DataFrame:
     cycles, and trees without messages, with forks, with a first message that isn't a user's or a user message
     without direct reply give nothing. Nulls in is_meta or is_sidechain count as not 0. Empty tables give no rows.
     """
-    nodes = _with_groups(message_nodes(lines, requests))
+    nodes, further = message_nodes(lines, requests)
     links = stored(forest.links_of(nodes, "is_user", "is_request", "is_main", "shows", "copy_group"), "links")
     rooted = forest.rooted(links.select("id", "pid")).filter(F.col("root") != forest.CYCLE).select("id", "root")
     placed = links.join(rooted, "id").join(links.filter("orphan").select(F.col("id").alias("root")), "root", "left_anti")
@@ -99,7 +119,7 @@ def conversations(lines: DataFrame, requests: DataFrame) -> DataFrame:
     placed = stored(placed.select("id", "pid", "root", "is_user", speaks.alias("speaks"), "shows", F.when(~F.col("is_user"), F.col("copy_group")).alias("copy_group")), "placed")
 
     # Messages: request nodes that share copies in one tree are one, every other speaking node is its own.
-    talk = placed.filter("speaks")
+    talk = _joined_groups(placed.filter("speaks"), further)
     alone = talk.filter("copy_group is null and shows").select("id", F.col("id").alias("message"))
     merged = stored(talk.filter("copy_group is not null").groupBy("root", "copy_group").agg(F.min("id").alias("message"), F.max("shows").alias("shows")).filter("shows").drop("shows"), "merged")
     together = talk.filter("copy_group is not null").join(merged, ["root", "copy_group"]).select("id", "message")

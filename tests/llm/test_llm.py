@@ -127,6 +127,17 @@ def test_copies_of_a_response_are_one_message(spark):
     assert tree(spark, rows, ids) == [(1, 0, 1, "u"), (1, 1, 2, "a"), (1, 2, 5, "u"), (1, 3, 6, "a")]
 
 
+def test_copies_linked_by_any_row_are_one_message(spark):
+    rows = [(1, "u", "a", None, "q"), (2, "a", "b", "a", None), (3, "a", "c", "b", "r"), (4, "u", "d", "c", "q"), (5, "a", "e", "d", "r")]
+    want = [(1, 0, 1, "u"), (1, 1, 2, "a"), (1, 2, 4, "u"), (1, 3, 5, "a")]
+    ids = [(2, ("m", "q1")), (3, ("n", "q1")), (6, (None, "q1"))]
+    assert tree(spark, [*rows, (6, "a", "b", None, None)], ids) == want  # the bare row is one of a node that has a message id too
+    assert tree(spark, [*rows, (6, "a", None, None, None)], ids) == want  # or of no node
+    ids = [(2, ("m", None)), (3, ("n", None)), (6, ("n", None))]
+    assert tree(spark, [*rows, (6, "a", "b", None, None)], ids) == want  # a node with rows of two responses
+    assert tree(spark, rows, ids)[1] == (1, 1, 3, "a")  # without that row they are two, and the first shows nothing
+
+
 def test_long_runs_of_links(spark):
     rows = [(1, "u", "0", None, "q")] + [(i + 1, "x", str(i), str(i - 1), None) for i in range(1, 300)] + [(500, "a", "end", "299", "r")]
     assert tree(spark, rows) == [(1, 0, 1, "u"), (1, 1, 500, "a")]
