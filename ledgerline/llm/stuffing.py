@@ -75,23 +75,35 @@ _MACHINE = re.compile(
     r"|(?:def|class|import|from|return|for|while|if|else|elif|try|function|const|let|var|public|private|fn|func|package|use|include)\b.*[:;{)(]\s*"
     r"|\[[\w .:-]+\]\s*"  # a section
     r"|[\w.]+\([^()]*\);?"  # a call
-    r"|[^\s,;|\t]+(?:[,;\t][^\s,;|\t]*)+"  # a row of fields without spaces
     r"|\|.*\|"  # a table row with outer bars
     r"|[-+|=:\s]{3,}"  # a rule
     r"|\$\s.*"  # a prompt
     r")\s*$"
 )
+_ROW = re.compile(r"\s*[^\s,;|\t]+(?:[,;\t][^\s,;|\t]*)+\s*$")  # fields without spaces
+_FIELD_END = re.compile(r"[,;\t]")
+_NUMERIC = re.compile(r"[-+]?\d[\d.:%/TZ+-]*")
 _LOG_START = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d[T ]|\[?\d\d:\d\d:\d\d)")
 _LEVEL = re.compile(r"\b(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b")
 _PAIR = re.compile(r"\b\w+=\S")
 _LINKY = re.compile(r"h(?:tt|xx)ps?://|\.[a-z]{2,}(?:[/,?]|$)")
 
 
-def is_machine(line: str) -> bool:
-    """A line of a log, table, settings file or program, by its shape."""
+def _is_row(line: str, before: str, after: str) -> bool:
+    """A table's row of fields without spaces: none is a tag, and one is a number or a neighbour has as many fields."""
+    if not _ROW.match(line):
+        return False
+    fields = _FIELD_END.split(line.strip())
+    if any(f[:1] in ("#", "@") for f in fields):
+        return False
+    return any(_NUMERIC.fullmatch(f) for f in fields) or any(_ROW.match(x) and len(_FIELD_END.split(x.strip())) == len(fields) for x in (before, after))
+
+
+def is_machine(line: str, before: str = "", after: str = "") -> bool:
+    """A line of a log, table, settings file or program, by its shape and, for rows of fields, the lines beside it."""
     if _LOG_START.match(line) or (_LEVEL.search(line) and _PAIR.search(line)):
         return True
-    if not _MACHINE.match(line):
+    if not _MACHINE.match(line) and not _is_row(line, before, after):
         return False
     return not (_LINKY.search(line) and "=" not in line.partition("?")[0] and '"' not in line and "{" not in line)
 
@@ -169,13 +181,14 @@ def segments(text: str) -> Iterator[tuple[int, int, int, bytes]]:
     fenced, recent, paragraph = False, deque(maxlen=RECENT), 0
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).translate(_INVISIBLE)
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    for at, line in enumerate(lines):
         bare = line.strip()
         if not bare:
             paragraph += 1
             continue
         fence = bare.startswith("```")
-        if fence or fenced or is_machine(line):
+        if fence or fenced or is_machine(line, lines[at - 1] if at else "", lines[at + 1] if at + 1 < len(lines) else ""):
             fenced ^= fence
             yield paragraph, MACHINE, len(bare), b""
             continue

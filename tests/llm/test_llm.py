@@ -175,3 +175,9 @@ def test_segments_cover_every_character():
 def test_odd_texts_take_linear_time():
     for text in ("a-" * 100_000, "a" * 300_000, "INFO " * 50_000, "a." * 100_000, "(" * 100_000, "[x](" * 50_000, '"' * 100_000, "a,b " * 50_000):
         assert list(stuffing.segments(text))
+
+
+def test_rows_of_words_are_no_table():
+    kinds = lambda text: [k == stuffing.MACHINE for _, k, _, _ in stuffing.segments(text)]
+    assert not any(kinds("cheap-shoes,boots,sandals")) and not any(kinds("#a,#b,#c\n#d,#e,#f"))
+    assert all(kinds("captured,window,used\n12:30,five_hour,7")) and all(kinds("a;b\nc;d"))
