@@ -182,6 +182,7 @@ def segments(text: str) -> Iterator[tuple[int, int, int, bytes]]:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).translate(_INVISIBLE)
     lines = text.split("\n")
+    fences = sum(x.lstrip().startswith("```") for x in lines)
     for at, line in enumerate(lines):
         bare = line.strip()
         if not bare:
@@ -189,7 +190,9 @@ def segments(text: str) -> Iterator[tuple[int, int, int, bytes]]:
             continue
         fence = bare.startswith("```")
         if fence or fenced or is_machine(line, lines[at - 1] if at else "", lines[at + 1] if at + 1 < len(lines) else ""):
-            fenced ^= fence
+            if fence:
+                fences -= 1
+                fenced = not fenced and fences > 0  # one that is never closed hides only itself
             yield paragraph, MACHINE, len(bare), b""
             continue
         while m := _ITEM.match(bare):

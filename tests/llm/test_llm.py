@@ -181,3 +181,8 @@ def test_rows_of_words_are_no_table():
     kinds = lambda text: [k == stuffing.MACHINE for _, k, _, _ in stuffing.segments(text)]
     assert not any(kinds("cheap-shoes,boots,sandals")) and not any(kinds("#a,#b,#c\n#d,#e,#f"))
     assert all(kinds("captured,window,used\n12:30,five_hour,7")) and all(kinds("a;b\nc;d"))
+
+
+def test_only_closed_fences_hide_lines():
+    kinds = lambda text: [k == stuffing.MACHINE for _, k, _, _ in stuffing.segments(text)]
+    assert kinds("```\nlamp lamp\n```\nlamp lamp\n```\nlamp lamp") == [True, True, True, False, True, False]
