@@ -130,12 +130,14 @@ def follow(lines: DataFrame, folder: str, checkpoint: str, available_now: bool =
     return (q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")).start()
 
 
-def latest_responses(requests: DataFrame, order: list[str], folder: str, checkpoint: str):
+def latest_responses(requests: DataFrame, order: list[str], folder: str, checkpoint: str, line_id: str = "raw_line_id"):
     """Keeps one row per dedup_key in folder while rows stream in; a later delivery that orders higher replaces it.
 
     No row is forgotten: the kept rows are the state, replaced whole after each batch, and late rows compete like
-    any other. Rows without key are kept each.
+    any other. Rows without key are kept each; line_id, unique and never null, tells them from replays.
     """
+    if line_id not in requests.columns:
+        raise ValueError(f"rows need their line's id: {line_id}")
 
     def sink(batch: DataFrame, _: int) -> None:
         table = Versions(batch.sparkSession, folder)
@@ -143,6 +145,6 @@ def latest_responses(requests: DataFrame, order: list[str], folder: str, checkpo
         rows = batch if old is None else old.unionByName(batch)
         best = F.max_by(F.struct(*rows.columns), F.struct(*order))
         keyed = rows.filter("dedup_key is not null").groupBy("dedup_key").agg(best.alias("r")).select("r.*")
-        table.write(keyed.unionByName(rows.filter("dedup_key is null").distinct()))
+        table.write(keyed.unionByName(rows.filter("dedup_key is null").dropDuplicates([line_id])))
 
     return requests.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,5 @@
+import pytest
+
 from ledgerline.sources.store import Versions
 from ledgerline.streaming import tail
 
@@ -31,3 +33,9 @@ def test_latest_responses_takes_late_rows(spark, tmp_path):
         q = tail.latest_responses(spark.readStream.schema(schema).parquet(src), ["output_tokens", "raw_line_id"], out, mark)
         assert q.awaitTermination(120)
     assert {tuple(r) for r in Versions(spark, out).read().collect()} == {("a", 7, 4), ("b", 5, 2), (None, 1, 3)}
+
+
+def test_latest_responses_needs_line_ids(spark, tmp_path):
+    src = spark.readStream.schema("dedup_key string, output_tokens long").parquet(str(tmp_path))
+    with pytest.raises(ValueError):
+        tail.latest_responses(src, ["output_tokens"], str(tmp_path / "out"), str(tmp_path / "mark"))
