@@ -108,7 +108,10 @@ P5_FOUND_SQL = f"SELECT reading_line_id, request_line_id FROM ({P5_PAIRS_SQL})"
 
 def _packs(spark: SparkSession, d: str) -> list[tuple[str, int]]:
     """The kinds of containers: a fixed table of a few rows."""
-    return [(r[0], r[1]) for r in table(spark, d, "pack_sizes").select("pack_name", "capacity_tokens").filter("capacity_tokens is not null").take(1000)]
+    packs = table(spark, d, "pack_sizes").select("pack_name", "capacity_tokens").filter("capacity_tokens is not null").take(1001)
+    if len(packs) > 1000:
+        raise ValueError("pack_sizes has more than 1,000 rows")
+    return [(r[0], r[1]) for r in packs]
 
 
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:

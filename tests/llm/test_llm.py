@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import conversations, mixing, nearest, packing, stuffing, tokens
+from ledgerline.llm import conversations, mixing, nearest, packing, queries, stuffing, tokens
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -186,3 +186,9 @@ def test_rows_of_words_are_no_table():
 def test_only_closed_fences_hide_lines():
     kinds = lambda text: [k == stuffing.MACHINE for _, k, _, _ in stuffing.segments(text)]
     assert kinds("```\nlamp lamp\n```\nlamp lamp\n```\nlamp lamp") == [True, True, True, False, True, False]
+
+
+def test_too_many_kinds_of_containers_are_refused(spark, tmp_path):
+    spark.range(1001).selectExpr("cast(id as string) pack_name", "id + 1 capacity_tokens").write.parquet(str(tmp_path / "pack_sizes.parquet"))
+    with pytest.raises(ValueError):
+        queries._packs(spark, str(tmp_path))
