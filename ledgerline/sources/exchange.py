@@ -23,6 +23,8 @@ KEPT = "type subtype sessionId uuid parentUuid timestamp isSidechain isMeta isAp
 ORIGIN = "lineOrigin"
 EXPORT_NAME = re.compile(r"(log|spool)-(\d{4}-(?:0[1-9]|1[0-2]))\.jsonl\.gz")
 MOST_LINE, MOST_FILE, MOST_EXPANDED = 64 << 10, 64 << 20, 512 << 20
+#: Lines of an exported file: of the longest that an import takes, so many stay below MOST_FILE uncompressed.
+FILE_LINES = 1000
 
 
 def _only(o: object, names: tuple[str, ...]) -> object:
@@ -107,7 +109,7 @@ def export(raw: DataFrame, run_month: DataFrame, folder: str) -> None:
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        lines.select("line", "kind", "month").repartition("kind", "month").write.mode("overwrite").partitionBy("kind", "month").option("compression", "gzip").text(folder)
+        lines.select("line", "kind", "month").repartition("kind", "month").write.mode("overwrite").partitionBy("kind", "month").option("maxRecordsPerFile", FILE_LINES).option("compression", "gzip").text(folder)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
@@ -125,12 +127,13 @@ def expand(data: bytes, most: int = MOST_EXPANDED) -> bytes | None:
 def imported(spark: SparkSession, folder: str, known_files: DataFrame | None = None, known_origins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lines, problems) of another machine's export folder.
 
-    Files that are unchanged (path, sha in known_files), too large or damaged are left for later; lines that are
-    too long or carry no origin are reported; a line whose origin is known, here or earlier in this import, is
+    Files that are unchanged (path, sha in known_files), too large or damaged are left for later, the latter two
+    reported; lines that are too long or carry no origin are reported; a line whose origin is known, here or earlier in this import, is
     stored once. lines: file, origin, line_number, line_bytes, file_sha.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(folder).filter(F.col("length") <= MOST_FILE)
-    files = files.select("path", "content", F.sha2("content", 256).alias("sha"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(folder)
+    large = files.filter(F.col("length") > MOST_FILE).select(F.col("path").alias("file"), F.lit("too large").alias("problem"), F.lit(1).cast("long").alias("lines"))
+    files = files.filter(F.col("length") <= MOST_FILE).select("path", "content", F.sha2("content", 256).alias("sha"))
     if known_files is not None:
         files = files.join(known_files.select("path", "sha"), ["path", "sha"], "left_anti")
 
@@ -154,7 +157,7 @@ def imported(spark: SparkSession, folder: str, known_files: DataFrame | None = N
     if known_origins is not None:
         good = good.join(known_origins.select("origin"), "origin", "left_anti")
     problems = rows.filter("problem is not null").groupBy("file", "problem").agg(F.count("*").alias("lines"))
-    return good, problems
+    return good, problems.unionByName(large)
 
 
 def write_description(folder: str, machine_id: str, label: str, account_hash: str, exported_at: str) -> None:

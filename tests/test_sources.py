@@ -127,6 +127,20 @@ def test_export_and_import(spark, tmp_path):
     assert exchange.expand(gzip.compress(b"0" * 100), 50) is None
 
 
+def test_exports_stay_below_the_cap_and_larger_files_are_reported(spark, tmp_path, monkeypatch):
+    body = [json.dumps({"type": "user", "uuid": str(u)}).encode() for u in range(7)]
+    raw = spark.createDataFrame([(i, "p/x.jsonl", "log", hashlib.sha256(b).hexdigest(), b, 1) for i, b in enumerate(body)], "raw_line_id long, relative_path string, kind string, content_hash string, line_bytes binary, first_run_id long")
+    folder = str(tmp_path / "out")
+    monkeypatch.setattr(exchange, "FILE_LINES", 3, raising=False)
+    exchange.export(raw, spark.createDataFrame([(1, "2026-01")], "first_run_id long, month string"), folder)
+    assert sum(f.endswith(".gz") for _, _, names in os.walk(folder) for f in names if not f.startswith(".")) == 3
+    assert exchange.imported(spark, folder)[0].count() == 7
+    write(folder, "large.jsonl.gz", os.urandom(5000))
+    monkeypatch.setattr(exchange, "MOST_FILE", 4000)
+    lines, problems = exchange.imported(spark, folder)
+    assert lines.count() == 7 and [(os.path.basename(r.file), r.problem) for r in problems.collect()] == [("large.jsonl.gz", "too large")]
+
+
 def test_roots(tmp_path):
     has = lambda *ok: lambda p: p in {os.path.join(o, "projects") for o in ok}
     assert files.roots("~/x, /y,/y", None, "/h", "tool", has("/h/x", "/y")) == ["/h/x", "/y"]
