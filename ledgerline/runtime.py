@@ -14,9 +14,11 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share, spark.checkpoint.dir. Where it is unset, one of our own, and only on a local master: there is one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -27,17 +29,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerline/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ledgerline_path = path
+    return out
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a table of stored() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/ledgerline/" in path.toString():
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def stored_together(tables: list[DataFrame]) -> DataFrame:
+    """Tables of stored() with one schema, read as one."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(t._ledgerline_path for t in tables))
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more; any other frame is left alone."""
+    for df in tables:
+        if path := getattr(df, "_ledgerline_path", None):
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checked_broadcast(df: DataFrame, rows: int, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
