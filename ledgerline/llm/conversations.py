@@ -1,11 +1,11 @@
 """Rebuilding conversations from message rows.
 
-Trees, orphans and cycles come from the core's forests. Every message then needs the message before it: the
-nearest one above it, past nodes that are mere links. Runs of links are shortened by pointer jumping: each
-round one join replaces a link's pointer by its target's, so a run of n links takes log2(n) rounds, and only
-unresolved links go on. Messages of a tree form a conversation if they make one line; that is decided from
-counts per tree, and positions are depths in the forest of messages, so no conversation is ever gathered in
-one task however long it is.
+Everything is resolved by iterative pointer-jumping joins (`climb`): each round one join replaces a pointer by its
+target's, so a chain of n links takes log2(n) rounds, and only unresolved rows go on. Three climbs do the work:
+from every node to its root, which tells orphans and cycles apart; from runs of mere links to the message above
+them; and from every message to the first of its conversation, whose length is its position. Messages of a tree
+form a conversation if they make one line; that is decided from counts per tree, so no conversation is ever
+gathered in one task however long it is.
 """
 
 from __future__ import annotations
@@ -15,38 +15,40 @@ from pyspark.sql import functions as F
 
 from ..operators import copies, forest
 from ..operators.components import components
-from ..runtime import stored
+from ..runtime import blocks, checked_broadcast, drop, stored, stored_together
 
 #: Something besides white space, no-break spaces, zero-width spaces and byte order marks.
 SHOWS = r"(?U)[^\s\x{A0}\x{200B}\x{FEFF}]"
 
 
-def _all(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+def climb(pointers: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame]:
+    """Every chain followed to its end: (node, to, hops, `carried`) of those that end, and the same of those on or below a circle.
 
-
-def jump_to_end(pointers: DataFrame) -> DataFrame:
-    """(node, to, hops, end, end_user) with every chain followed to its end: iterative pointer jumping by joins.
-
-    A pointer is settled when `to` is null; else `to` is a node of the same table, hops away. A node takes over
-    the end of the settled node it arrives at. Chains must end; after 64 rounds (2**64 links) it gives up.
+    A row is settled when `to` is null; else `to` is a node of the same table, `hops` away (nodes are unique). A row
+    takes over what the settled row it arrives at carries, and adds up hops. Among chains that end, the rows nearest
+    to settled ones settle in every round, so once none does only circles are left.
     """
-    table = stored(pointers, "pointers")
-    settled, active = [table.filter("to is null")], table.filter("to is not null")
-    for _ in range(64):
-        if active.isEmpty():
-            return _all(settled)
-        ahead = _all([*settled, active]).select(*(F.col(c).alias("_" + c) for c in table.columns))
-        moved = active.join(ahead, F.col("to") == F.col("_node")).select(
-            "node", F.col("_to").alias("to"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_end").alias("end"), F.col("_end_user").alias("end_user")
+    now = stored(pointers.select("node", "to", "hops", *carried), "pointers")
+    tables, left = [now], now.filter("to is not null").count()
+    while left:
+        active = now.filter("to is not null")
+        ahead = _settled(tables[:-1], now).select(*(F.col(c).alias("_" + c) for c in now.columns))
+        moved = checked_broadcast(active, left, 64, 4 << 20).join(ahead, F.col("to") == F.col("_node")).select(
+            "node", F.col("_to").alias("to"), (F.col("hops") + F.col("_hops")).alias("hops"), *(F.col("_" + c).alias(c) for c in carried)
         )
-        moved = stored(moved, "pointers")
-        settled.append(moved.filter("to is null"))
-        active = moved.filter("to is not null")
-    raise ValueError("pointers run in a circle")
+        now, before = stored(moved.repartition(blocks(now.sparkSession, left)), "pointers"), left
+        tables.append(now)
+        left = now.filter("to is not null").count()
+        if left == before:
+            break
+    ended, circling = stored(_settled(tables[:-1], now).filter("to is null"), "ended"), stored(now.filter("to is not null"), "circling")
+    drop(*tables)
+    return ended, circling
+
+
+def _settled(earlier: list[DataFrame], now: DataFrame) -> DataFrame:
+    """The rows settled in earlier rounds, by one scan, and all of the last one."""
+    return now.unionByName(stored_together(earlier).filter("to is null")) if earlier else now
 
 
 def copy_labels(lines: DataFrame, requests: DataFrame) -> DataFrame:
@@ -112,9 +114,11 @@ def conversations(lines: DataFrame, requests: DataFrame) -> DataFrame:
     without direct reply give nothing. Nulls in is_meta or is_sidechain count as not 0. Empty tables give no rows.
     """
     nodes, further = message_nodes(lines, requests)
+    one, zero, null = F.lit(1).cast("long"), F.lit(0).cast("long"), lambda t: F.lit(None).cast(t)
     links = stored(forest.links_of(nodes, "is_user", "is_request", "is_main", "shows", "copy_group"), "links")
-    rooted = forest.rooted(links.select("id", "pid")).filter(F.col("root") != forest.CYCLE).select("id", "root")
-    placed = links.join(rooted, "id").join(links.filter("orphan").select(F.col("id").alias("root")), "root", "left_anti")
+    top = lambda c: F.when(F.col("pid").isNull(), c)
+    rooted, _ = climb(links.select(F.col("id").alias("node"), F.col("pid").alias("to"), one.alias("hops"), top(F.col("id")).alias("root"), top(~F.col("orphan")).alias("whole")), "root", "whole")
+    placed = links.join(rooted.filter("whole").select(F.col("node").alias("id"), "root"), "id")
     speaks = F.col("is_main") & (F.col("is_user") | F.col("is_request"))
     placed = stored(placed.select("id", "pid", "root", "is_user", speaks.alias("speaks"), "shows", F.when(~F.col("is_user"), F.col("copy_group")).alias("copy_group")), "placed")
 
@@ -130,10 +134,9 @@ def conversations(lines: DataFrame, requests: DataFrame) -> DataFrame:
     up = nodes_.select(F.col("id").alias("pid"), F.col("message").alias("end"), F.col("is_user").alias("end_user"))
     below = stored(nodes_.filter("pid is not null").join(up, "pid", "left"), "parents")
     tops = nodes_.filter("pid is null")
-    one, null = F.lit(1).cast("long"), lambda t: F.lit(None).cast(t)
     mere = below.filter("message is null").select(F.col("id").alias("node"), F.when(F.col("end").isNull(), F.col("pid")).alias("to"), one.alias("hops"), "end", F.when(F.col("end").isNotNull(), F.col("end_user")).alias("end_user"))
     roots = tops.filter("message is null").select(F.col("id").alias("node"), null("long").alias("to"), one.alias("hops"), null("long").alias("end"), null("boolean").alias("end_user"))
-    ends = jump_to_end(mere.unionByName(roots)).select(F.col("node").alias("pid"), (F.col("hops") + 1).alias("hops"), "end", "end_user")
+    ends = climb(mere.unionByName(roots), "end", "end_user")[0].select(F.col("node").alias("pid"), (F.col("hops") + 1).alias("hops"), "end", "end_user")
 
     # Each message follows the nearest other message above any of its nodes.
     own = F.struct("message", "root", "is_user").alias("m")
@@ -156,9 +159,10 @@ def conversations(lines: DataFrame, requests: DataFrame) -> DataFrame:
     )
     good = per_root.filter("most = 1 and firsts = 1 and user_firsts = 1 and users = answers").select("root")
     kept = stored(messages.join(good, "root", "left_semi"), "kept")
-    place = stored(forest.rooted(kept.select(F.col("message").alias("id"), F.col("before").alias("pid"))), "places")
-    circles = kept.join(place.filter(F.col("depth") == forest.CYCLE).select(F.col("id").alias("message")), "message", "left_semi").select("root").distinct()
-    whole = kept.join(circles, "root", "left_anti").join(place.select(F.col("id").alias("message"), "depth"), "message")
+    steps = kept.select(F.col("message").alias("node"), F.col("before").alias("to"), F.when(F.col("before").isNull(), zero).otherwise(one).alias("hops"))
+    place, circling = climb(steps)
+    circles = kept.join(circling.select(F.col("node").alias("message")), "message", "left_semi").select("root").distinct()
+    whole = kept.join(circles, "root", "left_anti").join(place.select(F.col("node").alias("message"), "hops"), "message")
     return whole.select(
-        F.col("root").alias("root_line_id"), F.col("depth").alias("message_position"), F.col("message").alias("raw_line_id"), F.when(F.col("is_user"), "user").otherwise("assistant").alias("speaker")
+        F.col("root").alias("root_line_id"), F.col("hops").alias("message_position"), F.col("message").alias("raw_line_id"), F.when(F.col("is_user"), "user").otherwise("assistant").alias("speaker")
     )

@@ -22,28 +22,36 @@ def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 P4_CONVERSATIONS_SQL = r"""
-WITH RECURSIVE lines AS (
-  SELECT p.*, r.message_id AS mid, r.request_id AS rid, coalesce(regexp_matches(message_text, '[^\s\p{Z}\x{200B}\x{FEFF}]'), false) AS shows
-  FROM parsed_lines p LEFT JOIN requests r USING (raw_line_id) WHERE session_id IS NOT NULL AND uuid IS NOT NULL),
-node AS (
-  SELECT session_id AS s, uuid AS u, min(raw_line_id) AS id, min(parent_uuid) AS p, bool_or(line_type = 'user' AND is_meta = 0) AS usr,
-         bool_or(line_class = 'request') AS req, bool_or(is_sidechain = 0) AS main, bool_or(shows) AS shows, min(mid) AS mid, min(rid) AS rid
-  FROM lines GROUP BY 1, 2),
-keyed AS (SELECT *, coalesce('m/' || mid, 'r/' || rid) AS k FROM node WHERE req),
-bare AS (SELECT DISTINCT s, rid FROM keyed WHERE mid IS NULL AND rid IS NOT NULL),
-edge AS (SELECT DISTINCT a.s, a.k AS x, 'r/' || a.rid AS y FROM keyed a JOIN bare b ON a.s = b.s AND a.rid = b.rid),
+WITH RECURSIVE asked AS (
+  SELECT r.raw_line_id, coalesce(p.session_id, '<missing>') AS s, r.message_id AS m, r.request_id AS q, coalesce('m/' || r.message_id, 'r/' || r.request_id) AS k
+  FROM requests r LEFT JOIN parsed_lines p USING (raw_line_id) WHERE r.message_id IS NOT NULL OR r.request_id IS NOT NULL),
+bare AS (SELECT DISTINCT s, q FROM asked WHERE m IS NULL),
+edge AS (SELECT DISTINCT a.s, a.k AS x, 'r/' || a.q AS y FROM asked a JOIN bare b ON a.s = b.s AND a.q = b.q),
 pair AS (SELECT s, x, y FROM edge UNION SELECT s, y, x FROM edge UNION SELECT s, x, x FROM edge),
 reach(s, x, y) AS (SELECT s, x, y FROM pair UNION SELECT r.s, r.x, b.y FROM reach r JOIN pair b ON b.s = r.s AND b.x = r.y),
 label AS (SELECT s, x, min(y) AS l FROM reach GROUP BY s, x),
+copies AS (SELECT a.raw_line_id, coalesce(l.l, a.k) AS g FROM asked a LEFT JOIN label l ON l.s = a.s AND l.x = a.k),
+lines AS (
+  SELECT p.*, c.g, coalesce(regexp_matches(message_text, '[^\s\p{Z}\x{200B}\x{FEFF}]'), false) AS shows
+  FROM parsed_lines p LEFT JOIN copies c USING (raw_line_id) WHERE session_id IS NOT NULL AND uuid IS NOT NULL),
+node AS (
+  SELECT session_id AS s, uuid AS u, min(raw_line_id) AS id, min(parent_uuid) AS p, bool_or(line_type = 'user' AND is_meta = 0) AS usr,
+         bool_or(line_class = 'request') AS req, bool_or(is_sidechain = 0) AS main, bool_or(shows) AS shows
+  FROM lines GROUP BY 1, 2),
 link AS (
-  SELECT c.id, n.id AS up, c.p, c.usr, c.main AND (c.usr OR c.req) AS speaks, c.shows,
-         CASE WHEN c.req AND NOT c.usr THEN coalesce(l.l, 'm/' || c.mid, 'r/' || c.rid) END AS g
-  FROM node c LEFT JOIN node n ON n.s = c.s AND n.u = c.p
-  LEFT JOIN label l ON l.s = c.s AND l.x = coalesce('m/' || c.mid, 'r/' || c.rid)),
+  SELECT c.id, n.id AS up, c.p, c.usr, c.main AND (c.usr OR c.req) AS speaks, c.shows FROM node c LEFT JOIN node n ON n.s = c.s AND n.u = c.p),
 tree(id, root) AS (
   SELECT id, id FROM link WHERE p IS NULL
   UNION ALL SELECT l.id, t.root FROM tree t JOIN link l ON l.up = t.id),
-talk AS (SELECT t.root, l.id, l.usr, l.shows, coalesce(l.g, CAST(l.id AS VARCHAR)) AS k FROM tree t JOIN link l USING (id) WHERE l.speaks),
+said AS (SELECT t.root, l.id, l.usr, l.shows FROM tree t JOIN link l USING (id) WHERE l.speaks),
+member AS (
+  SELECT DISTINCT t.root, t.id, l.g FROM said t JOIN node n ON n.id = t.id JOIN lines l ON l.session_id = n.s AND l.uuid = n.u WHERE l.g IS NOT NULL AND NOT t.usr),
+both_ AS (SELECT DISTINCT a.root, a.g AS x, b.g AS y FROM member a JOIN member b ON a.root = b.root AND a.id = b.id),
+joined(root, x, y) AS (SELECT root, x, y FROM both_ UNION SELECT j.root, j.x, b.y FROM joined j JOIN both_ b ON b.root = j.root AND b.x = j.y),
+one AS (SELECT root, x, min(y) AS g FROM joined GROUP BY root, x),
+talk AS (
+  SELECT t.root, t.id, t.usr, t.shows, coalesce(o.g, CAST(t.id AS VARCHAR)) AS k
+  FROM said t LEFT JOIN (SELECT m.root, m.id, min(o.g) AS g FROM member m JOIN one o ON o.root = m.root AND o.x = m.g GROUP BY 1, 2) o ON o.root = t.root AND o.id = t.id),
 message AS (SELECT root, k, min(id) AS m FROM talk GROUP BY root, k HAVING bool_or(shows)),
 marked AS (SELECT t.id, m.m, t.usr FROM talk t JOIN message m ON m.root = t.root AND m.k = t.k),
 walk(id, root, near, far) AS (
