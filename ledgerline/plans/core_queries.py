@@ -29,8 +29,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_unified(spark: SparkSession, d: str) -> DataFrame:
     """All log lines as one table with the contract's fields, and the values that did not fit."""
     contract = drift.Contract.of(table(spark, d, "line_fields"))
-    lines = log_lines(spark, d)
-    return drift.unified(drift.path_maps(lines, contract), stored(drift.drift_report(lines, contract), "changes"), contract)
+    mapped = stored(drift.path_maps(log_lines(spark, d), contract), "mapped")
+    changed = drift.changes(stored(drift.mapped_stats(mapped, contract), "paths"), contract)
+    return drift.unified(mapped, stored(changed, "changes"), contract)
 
 
 def request_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,9 @@ _FITS = r"""CASE form WHEN 'semver' THEN regexp_full_match(s, '\d+\.\d+\.\d+([-+
   WHEN 'content' THEN (kind = 'string' AND regexp_full_match(s, '\S+(\s+\S+)+')) OR (kind = 'array' AND json_array_length(v) > 0 AND json_array_length(v) = len(list_filter(CAST(v AS JSON[]), lambda x: json_exists(x, '$.type'))))
   WHEN 'sentence' THEN regexp_full_match(s, '\S+(\s+\S+)+') ELSE false END"""
 
+_WORDS = r"""string_split_regex(lower(regexp_replace(regexp_replace({0}, '^.*\.', ''), '([a-z])([A-Z])', '\1_\2', 'g')), '[^a-z0-9]+')"""
+_NEAR = f"-len(list_intersect({_WORDS.format('old_path')}, {_WORDS.format('new_path')}))"
+
 P1_FOUND_SQL = rf"""
 WITH RECURSIVE lines AS (
   SELECT raw_line_id AS id, source_file_id AS f, first_run_id AS r, j, CASE WHEN j->>'$.type' = 'system' THEN CASE WHEN j->>'$.subtype' = 'api_error' THEN 'retry_notice' ELSE 'system' END
@@ -29,7 +32,8 @@ fresh AS (SELECT * FROM val WHERE path NOT IN (SELECT field_path FROM line_field
 fits AS (
   SELECT m.f, m.r, m.carrier, m.path AS old_path, u.path AS new_path FROM missing m JOIN fresh u ON u.f = m.f AND u.r = m.r AND u.parent = m.parent AND (m.carrier = 'any' OR m.carrier = u.carrier)
   GROUP BY ALL HAVING bool_and(kind = 'null' OR list_contains(string_split(json_types, '|'), kind)) AND bool_or(kind <> 'null') AND bool_and(kind = 'null' OR {_FITS})),
-renamed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY f, r, new_path ORDER BY old_path, carrier) AS i FROM fits) WHERE i = 1 QUALIFY row_number() OVER (PARTITION BY f, r, carrier, old_path ORDER BY new_path) = 1)
+near AS (SELECT *, {_NEAR} AS near FROM fits),
+renamed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY f, r, new_path ORDER BY near, old_path, carrier) AS i FROM near) WHERE i = 1 QUALIFY row_number() OVER (PARTITION BY f, r, carrier, old_path ORDER BY near, new_path) = 1)
 SELECT DISTINCT f AS source_file_id, r AS first_run_id, change_kind, old_path, new_path FROM (
   SELECT x.f, x.r, 'retyped' AS change_kind, path AS old_path, path AS new_path FROM val x JOIN field c ON c.field_path = x.path AND (c.carrier = 'any' OR c.carrier = x.carrier) WHERE kind <> 'null' AND NOT list_contains(string_split(c.json_types, '|'), kind)
   UNION ALL SELECT f, r, 'removed', path, '' FROM missing m WHERE NOT EXISTS (SELECT 1 FROM renamed n WHERE n.f = m.f AND n.r = m.r AND n.carrier = m.carrier AND n.old_path = m.path)

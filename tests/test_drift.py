@@ -75,9 +75,26 @@ def test_long_integers_and_repeated_keys(spark):
 def test_unified_table(spark):
     c = contract(spark)
     df = lines(spark, [{"type": "assistant", "kind": "x", "build": "1.0.2", "message": {"usage": {"input": 7}}}], [ok(version=3, message={"usage": {"input": "seven"}}, type="assistant")], [b"broken"])
-    t = drift.unified(drift.path_maps(df, c), drift.drift_report(df, c), c)
+    mapped = drift.path_maps(df, c)
+    assert drift.changes(drift.mapped_stats(mapped, c), c).exceptAll(drift.drift_report(df, c)).count() == 0
+    t = drift.unified(mapped, drift.drift_report(df, c), c)
     rows = {r.raw_line_id: r for r in t.collect()}
     assert set(rows) == {1, 2}
     assert rows[1].version == "1.0.2" and rows[1].message__usage__input == 7 and rows[1].failed_casts == []
     assert rows[2].version is None and {(f.path, f.found, f.value) for f in rows[2].failed_casts} == {("version", "number", "3"), ("message.usage.input", "string", "seven")}
     assert dict(t.dtypes)["message__usage__input"] == "bigint"
+
+
+def test_names_that_look_like_marks(spark):
+    got = found(spark, [ok(**{"": 1, "extra{}": 1}), ok()], [ok(type="assistant", message=None) | {"message{}": 1}])
+    assert got == {(1, "added", "", ""), (1, "added", "", "extra{}"), (2, "added", "", "message{}")}
+
+
+def test_more_fields_than_a_word_and_null_ids(spark):
+    names = [f"f{i}" for i in range(150)]
+    c = drift.Contract.of(spark.createDataFrame([(n, "any", "number", "count", True) for n in names] + [("x.y", "user", "string", "word", True)], "field_path string, carrier string, json_types string, value_form string, is_always boolean"))
+    full = {n: 1 for n in names}
+    rows = [(1, None, None, full | {"f63": "x"}), (2, None, None, {k: v for k, v in full.items() if k not in ("f64", "f149")} | {"f64b": 2}), (3, 7, 1, {k: v for k, v in full.items() if k != "f128"} | {"type": "user", "x": {}})]
+    df = spark.createDataFrame([(i, f, r, json.dumps(o).encode()) for i, f, r, o in rows], "raw_line_id long, source_file_id long, first_run_id long, line_bytes binary")
+    got = {tuple(r) for r in drift.drift_report(df, c).collect()}
+    assert got == {(None, None, "retyped", "f63", "f63"), (None, None, "added", "", "f64b"), (7, 1, "removed", "f128", ""), (7, 1, "removed", "x.y", ""), (7, 1, "added", "", "type"), (7, 1, "added", "", "x")}
