@@ -1,12 +1,16 @@
 """Messages delivered more than once: which rows are copies, and which copy is kept.
 
-Rows are first combined per distinct (scope, primary, secondary) by a maximum over a struct that holds the
-whole tie-break order; that aggregate is partial map-side, so an identifier with a third of all rows costs
-one row per input partition. Everything after works on distinct identifiers.
+Rows are first combined per distinct (scope, primary, secondary) by a maximum over the whole tie-break order; that
+aggregate is partial map-side, so an identifier with a third of all rows costs one row per input partition.
+Everything after works on distinct identifiers. The order's columns are packed into one whole number (mixed radix,
+the spans taken from the data), because only aggregates with buffers of fixed width stay hash aggregates.
 """
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,20 +72,49 @@ def identifier_groups(triples: DataFrame) -> DataFrame:
     return t.drop("_s").withColumn("group_secondary", F.when(F.col("group_primary").isNull(), F.col("secondary")))
 
 
-def distinct_identifiers(rows: DataFrame, scope: Column, primary: str, secondary: str, *aggs: Column) -> DataFrame:
-    """scope, primary, secondary and aggs of each distinct identifier triple, leaving out rows without both identifiers."""
-    keyed = rows.filter(F.col(primary).isNotNull() | F.col(secondary).isNotNull())
-    return keyed.groupBy(scope.alias("scope"), F.col(primary).alias("primary"), F.col(secondary).alias("secondary")).agg(*aggs)
+def _packed(rows: DataFrame, order: list[str]) -> tuple[Column, int, int] | None:
+    """The order's columns (whole numbers, never null) as one, and span and least value of the last; None if it would have over 38 digits."""
+    ends = rows.agg(*(F.min(c).alias(f"lo{i}") for i, c in enumerate(order)), *(F.max(c).alias(f"hi{i}") for i, c in enumerate(order))).first()
+    spans = [(ends[f"lo{i}"], ends[f"hi{i}"] - ends[f"lo{i}"] + 1) if ends["lo0"] is not None else (0, 1) for i in range(len(order))]
+    if math.prod(n for _, n in spans) >= 10**38:
+        return None
+    whole = lambda v: F.lit(Decimal(v)).cast("decimal(38,0)") if type(v) is int else F.col(v).cast("decimal(38,0)")
+    out = whole(0)
+    for c, (least, span) in zip(order, spans, strict=True):
+        out = (out * whole(span)).cast("decimal(38,0)") + (whole(c) - whole(least)).cast("decimal(38,0)")
+        out = out.cast("decimal(38,0)")
+    return out, spans[-1][1], spans[-1][0]
+
+
+def _best(rows: DataFrame, keys: list[str], *, ranked: bool) -> DataFrame:
+    """The best row's rank of each group; if ids aren't part of the rank (ranked), the largest id of the best rank, each step a hash aggregate."""
+    if not ranked:
+        return rows.groupBy(*keys).agg(F.max("best").alias("best"))
+    one = rows.groupBy(*keys, "best").agg(F.max("_id").alias("_id"))
+    return one.groupBy(*keys).agg(F.max_by("_id", "best").alias("_id"), F.max("best").alias("best"))
 
 
 def dropped_copies(rows: DataFrame, id: str, scope: Column, primary: str, secondary: str, order: list[Column]) -> DataFrame:
     """The `id` of every row that isn't the kept one of its group of copies.
 
-    order: columns whose largest values win, one after another; id (unique) decides at last. Rows without both
-    identifiers have no copies. Empty input: empty result.
+    order: whole numbers, never null, whose largest values win, one after another; id (unique, a long) decides at last.
+    Rows without both identifiers have no copies, rows without id are left out. Empty input: empty result. `rows` is
+    read once.
     """
-    best = F.struct(*order, F.col(id).alias("_id"))
-    triples = stored(distinct_identifiers(rows, scope, primary, secondary, F.max(best).alias("best")), "identifiers")
-    kept = identifier_groups(triples).groupBy("scope", "group_primary", "group_secondary").agg(F.max("best").alias("best")).select(F.col("best._id").alias(id))
-    keyed = rows.filter(F.col(primary).isNotNull() | F.col(secondary).isNotNull())
-    return keyed.select(id).join(kept, id, "left_anti")
+    cols = [f"_o{i}" for i in range(len(order))]
+    keyed = rows.filter((F.col(primary).isNotNull() | F.col(secondary).isNotNull()) & F.col(id).isNotNull()).select(
+        scope.alias("scope"), F.col(primary).alias("primary"), F.col(secondary).alias("secondary"), *(o.cast("long").alias(c) for o, c in zip(order, cols, strict=True)), F.col(id).cast("long").alias("_id")
+    )
+    keyed = stored(keyed, "keyed")
+    whole, without = _packed(keyed, [*cols, "_id"]), None
+    if whole is None:
+        without = _packed(keyed, cols)
+    best = whole[0] if whole else without[0] if without else F.struct(*cols, "_id")
+    ranked = without is not None
+    triples = stored(_best(keyed.select("scope", "primary", "secondary", "_id", best.alias("best")), ["scope", "primary", "secondary"], ranked=ranked), "identifiers")
+    kept = _best(identifier_groups(triples), ["scope", "group_primary", "group_secondary"], ranked=ranked)
+    if whole:
+        kept = kept.select(((F.col("best") % F.lit(Decimal(whole[1]))) + F.lit(Decimal(whole[2]))).cast("long").alias("_id"))
+    elif not ranked:
+        kept = kept.select("best._id")
+    return keyed.select("_id").join(kept.select("_id"), "_id", "left_anti").select(F.col("_id").alias(id))

@@ -45,9 +45,8 @@ def request_rows(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows of requests that are later deliveries of a response that another row keeps."""
     order = [
-        F.coalesce("output_tokens", F.lit(-(1 << 62))).alias("o"), (-F.coalesce("is_sidechain", F.lit(0))).alias("s"),
-        F.col("timestamp_utc").isNotNull().alias("has_t"), (-F.unix_micros(F.col("timestamp_utc").cast("timestamp"))).alias("t"),
-        F.coalesce("first_run_id", F.lit(-1)).alias("r"), F.coalesce("line_number", F.lit(-1)).alias("n"),
+        F.col("output_tokens").isNotNull().cast("int"), F.coalesce("output_tokens", F.lit(0)), -F.coalesce("is_sidechain", F.lit(0)), F.col("timestamp_utc").isNotNull().cast("int"),
+        F.coalesce(-F.unix_micros(F.col("timestamp_utc").cast("timestamp")), F.lit(0)), F.coalesce("first_run_id", F.lit(-1)), F.coalesce("line_number", F.lit(-1)),
     ]
     return copies.dropped_copies(request_rows(spark, d), "raw_line_id", F.col("session_id"), "message_id", "request_id", order)
 

@@ -112,34 +112,18 @@ def brute_copies(rows):
     return {a[0] for a in rows if (a[2] or a[3]) and a[0] not in kept}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_dropped_copies_against_brute_force(spark, seed):
-    r = random.Random(seed)
-    rows = [(i, r.choice("st"), r.choice([None, *(f"m{k}" for k in range(25))]), r.choice([None, *(f"q{k}" for k in range(25))]), r.randrange(4)) for i in range(120)]
-    df = spark.createDataFrame(rows, "raw_line_id long, session_id string, message_id string, request_id string, o long").withColumns({"scope": F.lit(1), "primary": F.lit("clash"), "best": F.lit(2)})
-    got = {x.raw_line_id for x in copies.dropped_copies(df, "raw_line_id", F.col("session_id"), "message_id", "request_id", [F.col("o").alias("a")]).collect()}
-    assert got == brute_copies(rows)
-    assert copies.dropped_copies(df.limit(0), "raw_line_id", F.col("session_id"), "message_id", "request_id", [F.col("o").alias("a")]).collect() == []
-
-
-def test_latest_by_passes_null_keys(spark):
-    df = spark.createDataFrame([("a", 1), ("a", 3), (None, 2), (None, 2)], "k string, v long")
-    assert sorted(copies.latest_by(df, ["k"], F.col("v")).collect(), key=str) == sorted(df.filter("k is null or v = 3").collect(), key=str)
-
-
-def test_fingerprint_and_differences(spark):
-    df = spark.createDataFrame([(1, "a", 2.0), (2, None, 3.0)], "id long, s string, v double")
-    assert lineage.fingerprint(df).first() == lineage.fingerprint(df.repartition(3).orderBy(F.desc("id"))).first()
-    assert lineage.fingerprint(df).first() != lineage.fingerprint(df.unionByName(df)).first()
-    other = spark.createDataFrame([(1, "a", 2.0 + 1e-12), (3, "c", 1.0)], "id long, s string, v double")
-    got = {(r.id, r.left_value, r.right_value) for r in lineage.differences(df, other, ["id"], ["v"], {"v": 1e-9}).collect()}
-    assert got == {(2, 3.0, 0.0), (3, 0.0, 1.0)}
-
-
-def test_resum_and_agreement(spark):
-    events = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None)], "g string, c double")
-    assert {r.g: r.resummed for r in lineage.resum(events, ["g"], F.col("c"), False).collect()} == {"a": 3.0, "b": None}
-    assert {r.g: r.resummed for r in lineage.resum(events, ["g"], F.col("c"), True).collect()} == {"a": 3.0, "b": 0.0}
-    reported = spark.createDataFrame([("a", 3.0), ("b", None), ("d", 1.0)], "g string, v double")
-    got = {r.g: r.agrees for r in lineage.agreement(reported, lineage.resum(events, ["g"], F.col("c"), False), ["g"], "v").collect()}
-    assert got == {"a": True, "b": True, "d": False}
+@pytest.mark.parametrize("wide", [0, 1, 2])
+def test_dropped_copies_against_brute_force(spark, wide, capsys):
+    """wide: whether order and id fit into one packed number, or the order alone, or neither."""
+    r = random.Random(wide)
+    far = r.sample([0, 1, -(1 << 62), 1 << 62], 4) if wide else range(4)
+    rows = [(i, r.choice("st"), r.choice([None, *(f"m{k}" for k in range(25))]), r.choice([None, *(f"q{k}" for k in range(25))]), r.choice(far)) for i in r.sample(range(1 << 62), 120)]
+    df = spark.createDataFrame([*rows, (None, "s", "m1", None, 9)], "raw_line_id long, session_id string, message_id string, request_id string, o long").withColumns({"scope": F.lit(1), "primary": F.lit("clash"), "best": F.lit(2)})
+    order = [[F.col("o")], [F.col("o"), F.when(F.col("o") > 5, 1 << 30).otherwise(0)], [F.col("o")] * 3][wide]
+    ask = lambda d: copies.dropped_copies(d, "raw_line_id", F.col("session_id"), "message_id", "request_id", order)
+    assert {x.raw_line_id for x in ask(df).collect()} == brute_copies(rows)
+    assert ask(df.limit(0)).collect() == []
+    if not wide:
+        packed = copies._packed(df.select("o", "raw_line_id").filter("raw_line_id is not null"), ["o", "raw_line_id"])
+        df.groupBy("message_id").agg(F.max(packed[0])).explain()
+        assert "SortAggregate" not in capsys.readouterr().out
