@@ -333,26 +333,37 @@ def preorder(links: DataFrame, block_links: int = BLOCK_LINKS, placed: DataFrame
     return rooted(behind.unionByName(tops), block_links, "w").withColumnRenamed("depth", "position").join(sizes, "id")
 
 
-def descendants(links: DataFrame, asked: DataFrame) -> DataFrame:
-    """ancestor, id: every node below each asked node (asked: id). The forest is cut at the asked nodes and solved once.
+def descendants(order: DataFrame, asked: DataFrame, bucket: int = 64) -> DataFrame:
+    """ancestor, id: every node below each asked node (asked: id), from a stored table of preorder().
 
-    Each node then knows its nearest asked ancestor; chains of asked nodes are closed among themselves. The result
-    has as many rows as there are such pairs. Cycles and nodes that aren't asked for give nothing.
+    A node's descendants are a range of positions in its tree, so both sides meet in buckets of positions: no group holds
+    more than `bucket` nodes and the asked ancestors above them, and beyond the two ends of a range every row of the
+    join is a row of the result. Ids that are no node with a root, or have nothing below them, give nothing.
     """
-    a = stored(asked.select(F.col("id").alias("_a")).filter("_a is not null").distinct(), "asked")
-    cut = links.join(a, F.col("id") == F.col("_a"), "left").select("id", F.when(F.col("_a").isNull(), F.col("pid")).alias("pid"), F.col("pid").alias("up"), F.col("_a").isNotNull().alias("is_asked"))
-    cut = stored(cut, "cut")
-    whole = rooted(links).filter(F.col("root") == CYCLE).select("id")
-    near = rooted(cut.select("id", "pid")).filter(F.col("root") != CYCLE).select("id", F.col("root").alias("near")).join(whole, "id", "left_anti")
-    near = stored(near.join(a, F.col("near") == F.col("_a")).select("id", "near"), "near")
-    above = cut.filter("is_asked and up is not null").select(F.col("id").alias("low"), F.col("up").alias("id")).join(near, "id").select("low", F.col("near").alias("high"))
-    closed = stored(above, "closed")
-    while True:
-        longer = closed.alias("x").join(closed.alias("y"), F.col("x.high") == F.col("y.low")).select(F.col("x.low").alias("low"), F.col("y.high").alias("high"))
-        following = stored(closed.unionByName(longer).distinct(), "closed")
-        if following.count() == closed.count():
-            break
-        closed = following
-    own = near.filter("id <> near").select(F.col("near").alias("ancestor"), "id")
-    far = near.join(closed, F.col("near") == F.col("low")).select(F.col("high").alias("ancestor"), "id")
-    return own.unionByName(far)
+    from_, to = F.col("position") + 1, F.col("position") + F.col("descendants")
+    wide = bucket * 10_000  # exploded in two steps, so that no row holds a long array
+    a = order.join(asked.select("id").filter("id is not null").distinct(), "id", "left_semi").filter("descendants > 0").select(F.col("id").alias("ancestor"), "root", from_.alias("lo"), to.alias("hi"))
+    a = a.withColumn("w", F.explode(F.sequence(F.expr(f"lo div {wide}"), F.expr(f"hi div {wide}"))))
+    a = a.withColumn("b", F.explode(F.sequence(F.greatest(F.expr(f"lo div {bucket}"), F.col("w") * 10_000), F.least(F.expr(f"hi div {bucket}"), F.col("w") * 10_000 + 9_999))))
+    nodes = order.select("id", "root", "position", F.expr(f"position div {bucket}").alias("b"))
+    return a.join(nodes, ["root", "b"]).filter("position between lo and hi").select("ancestor", "id")
+
+
+def full_paths(links: DataFrame, asked: DataFrame, placed: DataFrame | None = None, step: int = STEP) -> DataFrame:
+    """id, position, node: every asked node's whole path (asked: id), a row for each node from the root (position 0) down to itself.
+
+    Paths are put together from indexed segments: the anchors of paths() are a forest of their own, `step` times
+    less deep, whose paths are found the same way. log_step(depth) levels, each two joins and as many rows as the
+    result. Rows instead of arrays, so a path of any length fits. Nodes without root give nothing.
+    """
+    placed = stored(rooted(links).select("id", "root", "depth"), "placed") if placed is None else placed
+    segments = stored(paths(links, step, placed), "segments")
+    here = stored(segments.join(asked.select("id").filter("id is not null").distinct(), "id", "left_semi").select("id", "anchor", F.col("id").alias("end")), "asked")
+    ends = here.select("id", "end")
+    anchors = here.filter("anchor is not null").select(F.col("anchor").alias("id"))
+    if not anchors.isEmpty():
+        upper = stored(segments.filter(f"depth % {step} = 0").select("id", F.col("anchor").alias("pid"), "root", F.expr(f"depth div {step}").alias("depth")), "anchors")
+        above = full_paths(upper.select("id", "pid"), anchors, upper.select("id", "root", "depth"), step).select(F.col("id").alias("anchor"), F.col("node").alias("end"))
+        ends = ends.unionByName(here.select("id", "anchor").join(above, "anchor").select("id", "end"))
+    parts = ends.join(segments.select(F.col("id").alias("end"), "depth", "segment"), "end")
+    return parts.select("id", F.col("depth"), "segment", F.posexplode("segment").alias("i", "node")).select("id", (F.col("depth") - F.size("segment") + 1 + F.col("i")).alias("position"), "node")

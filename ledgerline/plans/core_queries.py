@@ -118,6 +118,24 @@ def p3_preorder(spark: SparkSession, d: str) -> DataFrame:
     return forest.preorder(links, placed=placed).select(F.col("id").alias("raw_line_id"), F.col("root").alias("root_line_id"), "position", "descendants")
 
 
+def _every_20th(links: DataFrame) -> DataFrame:
+    """The stated query set of searches: ids divisible by 20."""
+    return links.filter("id % 20 = 0").select("id")
+
+
+def p3_full_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The whole path of each node whose id is divisible by 20, a row for each node on it."""
+    links, placed = _placed_links(spark, d)
+    return forest.full_paths(links, _every_20th(links), placed).select(F.col("id").alias("raw_line_id"), "position", F.col("node").alias("path_line_id"))
+
+
+def p3_below(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes below each node whose id is divisible by 20."""
+    links, placed = _placed_links(spark, d)
+    order = stored(forest.preorder(links, placed=placed), "preorder")
+    return forest.descendants(order, _every_20th(links)).select(F.col("ancestor").alias("raw_line_id"), F.col("id").alias("descendant_line_id"))
+
+
 _TREE = """WITH RECURSIVE node AS (
   SELECT session_id AS s, uuid AS u, min(raw_line_id) AS id, min(parent_uuid) AS p
   FROM parsed_lines WHERE session_id IS NOT NULL AND uuid IS NOT NULL GROUP BY 1, 2),
@@ -137,5 +155,12 @@ SELECT w.id AS raw_line_id, w.root AS root_line_id, row_number() OVER (PARTITION
 FROM walk w LEFT JOIN (SELECT a, count(*) AS n FROM (SELECT unnest(path[:-2]) AS a FROM walk) GROUP BY a) b ON b.a = w.id
 """
 
-QUERIES = {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_preorder": p3_preorder}
-SQL = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_paths": P3_PATHS_SQL, "p3_descendants": P3_DESCENDANTS_SQL, "p3_preorder": P3_PREORDER_SQL}
+P3_FULL_PATHS_SQL = _TREE + """
+SELECT raw_line_id, CAST(n - 1 AS BIGINT) AS position, path[n] AS path_line_id FROM (SELECT id AS raw_line_id, path, unnest(range(1, len(path) + 1)) AS n FROM walk WHERE id % 20 = 0)
+"""
+P3_BELOW_SQL = _TREE + """
+SELECT a AS raw_line_id, id AS descendant_line_id FROM (SELECT id, unnest(path[:-2]) AS a FROM walk) WHERE a % 20 = 0
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_preorder": p3_preorder, "p3_full_paths": p3_full_paths, "p3_below": p3_below}
+SQL = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_paths": P3_PATHS_SQL, "p3_descendants": P3_DESCENDANTS_SQL, "p3_preorder": P3_PREORDER_SQL, "p3_full_paths": P3_FULL_PATHS_SQL, "p3_below": P3_BELOW_SQL}
