@@ -156,14 +156,47 @@ CLEAN = {
 }
 
 
+LISTS = "cheap,lamp,garden,lamp,kids,lamp,best,lamp\n" * 20
+SHAPED = {
+    "commas": LISTS, "pipes": "| cheap lamp | garden lamp |\n" * 20, "fence": f"```\n{LISTS}```", "fence2": "```\n" + "garden lamp, cheap lamp, kids lamp, lamp sale\n" * 20 + "```",
+    "name": LISTS.replace("cheap", "tag=cheap"), "clock": LISTS.replace("cheap", "12:30:45 cheap"),
+    "ru": "дешёвая лампа, садовая лампа, лампа купить, лампа для сада, " * 20,
+    "zh": "便宜灯具,花园灯具,灯具购买,灯具," * 20,
+    "ja": "安いランプ、庭ランプ、ランプ通販、" * 20,
+    "ka": "იაფი ნათურა, ბაღის ნათურა, ნათურა " * 20,
+    "pl": "tania lampa, lampa ogrodowa, lampa sklep, lampa, " * 20,
+}
+ELSEWHERE = {
+    "ru": "Мы увидели, что отчёт опоздал, поэтому нам пришлось снова проверить смещение до сброса. Я думаю, что задание остановилось после обновления, но журнал говорит другое. Никто не знал, почему так получилось. Потом мы посмотрели на числа и поняли, что ошибка была в настройках.",
+    "zh": "我们看到报告很晚才到，所以在重置之前又检查了一次偏移量。我认为任务在升级之后停止了，但是日志说的不是这样。没有人知道为什么会这样。后来我们看了数字，发现错误是在设置里。他们已经把这个问题修好了，现在可以正常使用。",
+    "ja": "レポートが遅れていたので、リセットの前にもう一度オフセットを確認しなければなりませんでした。アップグレードの後にジョブが止まったと思いますが、ログはそう言っていません。なぜそうなったのか、誰も知りませんでした。",
+    "ko": "보고서가 늦어서 우리는 초기화 전에 오프셋을 다시 확인해야 했다. 나는 업그레이드 후에 작업이 멈췄다고 생각하지만 로그는 다르게 말한다. 왜 그런지 아무도 몰랐다. 나중에 우리는 숫자를 보고 오류가 설정에 있다는 것을 알았다.",
+    "pl": "Zobaczyliśmy, że raport jest spóźniony, więc musieliśmy jeszcze raz sprawdzić wartość przed zerowaniem. Myślę, że zadanie zatrzymało się po aktualizacji, ale dziennik mówi co innego. Nikt nie wiedział, dlaczego tak się stało, i dopiero potem zobaczyliśmy, że błąd był w ustawieniach.",
+    "it": "Abbiamo visto che il rapporto era in ritardo, quindi abbiamo dovuto controllare di nuovo il valore prima del ripristino. Penso che il lavoro si sia fermato dopo l'aggiornamento, ma il registro dice altro. Nessuno sapeva perché fosse successo.",
+    "pt": "Vimos que o relatório estava atrasado, então tivemos de verificar outra vez o valor antes da reposição. Acho que o trabalho parou depois da atualização, mas o registo diz outra coisa. Ninguém sabia por que isso aconteceu.",
+    "ar": "رأينا أن التقرير كان متأخرا لذلك كان علينا أن نتحقق من القيمة مرة أخرى قبل إعادة الضبط. أعتقد أن المهمة توقفت بعد التحديث، لكن السجل يقول غير ذلك. لم يعرف أحد لماذا حدث هذا.",
+    "ka": "ჩვენ დავინახეთ, რომ ანგარიში დაგვიანებული იყო, ამიტომ კიდევ ერთხელ მოგვიწია მნიშვნელობის შემოწმება. ვფიქრობ, რომ სამუშაო განახლების შემდეგ შეჩერდა, მაგრამ ჟურნალი სხვას ამბობს.",
+    "tr": "Raporun geç kaldığını gördük, bu yüzden sıfırlamadan önce değeri bir kez daha kontrol etmek zorunda kaldık. İşin güncellemeden sonra durduğunu düşünüyorum ama kayıt başka bir şey söylüyor. Kimse bunun neden olduğunu bilmiyordu.",
+    "nl": "We zagen dat het rapport te laat was, dus we moesten de waarde nog een keer controleren voor de reset. Ik denk dat de taak na de update is gestopt, maar het logboek zegt iets anders. Niemand wist waarom dat zo was.",
+    "sv": "Vi såg att rapporten var sen, så vi fick kontrollera värdet en gång till före återställningen. Jag tror att jobbet stannade efter uppdateringen, men loggen säger något annat. Ingen visste varför det var så.",
+}
+FORMAL = {
+    "csv": "state,kind,level\nopen,bug,high\nclosed,task,low\nopen,task,high\n" * 10, "log": "20:26:36 INFO offset moved again after reset\n" * 20, "code": "```\nimport os\nreturn value\nelse\nfor item in items\n```\n" * 5,
+    "shell": "```\ngit add file\ngit commit\nnpm install lamp\n```\n" * 5, "matrix": "| name | open | closed |\n|---|---|---|\n| alpha | yes | no |\n| beta | yes | yes |\n" * 5,
+    "sources": "- That did not help. See https://a.example/b/c/d/e/f/g/h\n- We saw it late. See https://b.example/c/d/e/f/g/h/i/j\n",
+}
+
+
 def test_stuffed_pages(spark):
-    names = [*CASES, *CLEAN]
-    docs = [(i, (CASES | CLEAN)[n]) for i, n in enumerate(names)] + [(900 + i, PROSE.replace("report", w)) for i, w in enumerate(["table", "figure", "value", "line"] * 30)]
+    cases = CASES | {"shaped " + k: v for k, v in SHAPED.items()}
+    clean = CLEAN | FORMAL | {"prose " + k: v for k, v in ELSEWHERE.items()}
+    names = [*cases, *clean]
+    docs = [(i, (cases | clean)[n]) for i, n in enumerate(names)] + [(900 + i, PROSE.replace("report", w)) for i, w in enumerate(["table", "figure", "value", "line"] * 30)]
     docs += [(1100 + i, t) for i, t in enumerate(["No.", "Yes, it is.", "Thanks, that helped a lot.", "Why did it stop?", "The old one is gone.", "Nobody knows where the file went after the move.", "If you ask me, this won't work without a new key."] * 12)]
     docs += [(990, None), (991, ""), (992, " \n "), (None, CASES["links"])]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("seq", F.lit("clash"))
     got = {r.doc_id for r in stuffing.stuffed(df).collect()}
-    assert got == {*(i for i, n in enumerate(names) if n in CASES), None}
+    assert {names[i] if i is not None and i < 900 else i for i in got} == {*cases, None}
     assert stuffing.stuffed(df.limit(0)).collect() == []
 
 
@@ -183,6 +216,17 @@ def test_rows_of_words_are_no_table():
     assert all(kinds("captured,window,used\n12:30,five_hour,7")) and all(kinds("a;b\nc;d"))
 
 
+def test_batches_and_single_texts_are_encoded_alike():
+    texts = [*CASES.values(), None, "", *CLEAN.values(), *ELSEWHERE.values(), "a\0b"]
+    count, size, cls, kind, chars, par = stuffing.encode(texts)
+    at, seq, one = 0, bytes(cls), []
+    for n, z in zip(count, size, strict=True):
+        one.append((n, seq[at : at + z]))
+        at += z
+    assert [(len(x), b"".join(c + b"\0" for *_, c in x)) for x in ([] if not t else stuffing.segments(t) for t in texts)] == one
+    assert stuffing.sentences("a.. b? \"c.\" d") == ["a..", "b?", "\"c.", "d"]
+
+
 def test_only_closed_fences_hide_lines():
     kinds = lambda text: [k == stuffing.MACHINE for _, k, _, _ in stuffing.segments(text)]
     assert kinds("```\nlamp lamp\n```\nlamp lamp\n```\nlamp lamp") == [True, True, True, False, True, False]
