@@ -1,15 +1,17 @@
 """Filling fixed-capacity containers with texts.
 
-Harmonic packing: a length s belongs to class k = floor(capacity / s), and a container of class k is opened
-with a fixed number of documents of its class. Plain harmonic packing (`harmonic`) stops there and leaves up to
-1/(k+1) of each container empty. `topped` refines the classes to exact token counts - there are at most
-`capacity` of them - and plans, from the counts alone, patterns that hold a fixed number of documents of each
-length: the largest open class first, topped up by the largest lengths that still fit. Blocks of documents are
-packed independently, each in one task with two numbers a document, without any shuffle.
+Harmonic packing: a length s belongs to class k = floor(capacity / s), that is to (capacity / (k + 1), capacity / k],
+and a container opened for class k holds exactly k documents of it; no further one would fit. Plain harmonic packing
+(`harmonic`) stops there and leaves up to 1 / (k + 1) of each container empty. `classed` tops every container up with
+documents of higher classes, the longest that still fit, one after another. Within a class lengths are told apart by
+their exact token counts - there are at most `capacity` of them - so all of this is planned from counts alone, as
+patterns that hold a fixed number of documents of each length and are repeated while the counts last. Documents are
+packed in independent blocks, after one shuffle of two numbers a document.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -18,9 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ..runtime import blocks
-
-#: Classes from here on (lengths up to capacity / SMALL) are filled one after another in plain harmonic packing.
+#: Classes from here on (lengths up to capacity / SMALL) are one in plain harmonic packing: SMALL of them always fit.
 SMALL = 64
 
 
@@ -33,27 +33,35 @@ def pieces(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def patterns(counts: dict[int, int], capacity: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(containers, [(length, documents of that length in each)]) until all counted lengths are used."""
+    """(containers, [(length, documents of that length in each)]) until all counted lengths are used.
+
+    Classes in rising order: a container takes its class's fixed number of documents, the longest first (fewer only
+    where the class runs out), then of the higher classes the longest that fit.
+    """
     left = dict(counts)
-    open_ = sorted(left)
-    while open_:
-        rest, top, used = capacity, len(open_), []
-        while rest and (top := bisect_right(open_, rest, 0, top)):
-            s = open_[top - 1]
-            m = min(left[s], rest // s)
-            used.append((s, m))
-            rest -= m * s
+    lengths = sorted(left)
+    while lengths:
+        quota = capacity // lengths[-1]
+        rest, top, used = capacity, len(lengths), []
+        while rest and (top := bisect_right(lengths, rest, 0, top)):
+            s = lengths[top - 1]
+            of_class = capacity // s == capacity // lengths[-1]
+            m = min(left[s], quota if of_class else rest // s)
+            if m:
+                used.append((s, m))
+                rest -= m * s
+                quota -= m if of_class else 0
             top -= 1
         times = min(left[s] // m for s, m in used)
         for s, m in used:
             left[s] -= m * times
             if not left[s]:
-                del open_[bisect_right(open_, s) - 1]
+                del lengths[bisect_right(lengths, s) - 1]
         yield times, used
 
 
-def topped(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Container number of each piece, by patterns."""
+def classed(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Container number of each piece: harmonic classes, topped up."""
     order = np.argsort(-sizes, kind="stable")
     lengths, first, count = np.unique(-sizes[order], return_index=True, return_counts=True)
     at = {int(-s): int(f) for s, f in zip(lengths, first, strict=True)}
@@ -67,41 +75,36 @@ def topped(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def harmonic(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Container number of each piece, by plain harmonic classes; the class of small lengths goes in order of length."""
-    k = capacity // sizes
+    """Container number of each piece, by plain harmonic classes."""
+    k = np.minimum(capacity // sizes, SMALL)
     out, base = np.zeros(len(sizes), np.int64), 0
-    for c in np.unique(k[k < SMALL]):
+    for c in np.unique(k):
         row = np.nonzero(k == c)[0]
         out[row] = base + np.arange(len(row)) // c
         base += -(-len(row) // int(c))
-    row, rest = np.nonzero(k >= SMALL)[0], 0
-    for r in row[np.argsort(-sizes[row], kind="stable")]:
-        if rest < sizes[r]:
-            base, rest = base + 1, capacity
-        out[r] = base - 1
-        rest -= sizes[r]
     return out
 
 
 _PACKED = "pack_name string, capacity_tokens long, container_id long, id long, first_token long, tokens long"
 
 
-def packed(sizes: DataFrame, packs: list[tuple[str, int]], method: str = "topped", block: int = 1_000_000) -> DataFrame:
+def packed(sizes: DataFrame, packs: list[tuple[str, int]], method: str = "classed", block: int = 250_000) -> DataFrame:
     """pack_name, capacity_tokens, container_id, id, first_token, tokens: every text with tokens, in each kind of container.
 
-    sizes: id, tokens (a stored table). A task packs up to `block` documents by itself, so only its last few
-    containers stay part empty. container_id is unique within a pack. Documents of 0 or null tokens need no
+    sizes: id, tokens (a stored table). A task packs about `block` documents by itself, so only its last few
+    containers stay part empty. container_id is unique within a pack; documents of one length are taken by id, so up
+    to `block` documents are packed alike however they are partitioned. Documents of 0 or null tokens need no
     container; repeated ids are packed each; capacities under 1 are refused.
     """
     if any(c < 1 for _, c in packs):
         raise ValueError("a capacity is under 1 token")
-    place = {"topped": topped, "harmonic": harmonic}[method]
+    place = {"classed": classed, "harmonic": harmonic}[method]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        t = pa.Table.from_batches(got)
+        t = pa.Table.from_batches(got).sort_by("id")
         ids, n = t["id"].combine_chunks(), t["tokens"].to_numpy()  # ids may be null
         part = TaskContext.get().partitionId() << 40
         for name, capacity in packs:
@@ -114,5 +117,4 @@ def packed(sizes: DataFrame, packs: list[tuple[str, int]], method: str = "topped
             yield from out.to_batches(max_chunksize=100_000)
 
     rows = sizes.filter("tokens > 0").selectExpr("cast(id as bigint) as id", "cast(tokens as bigint) as tokens")
-    parts = blocks(sizes.sparkSession, sizes.count(), block, least=50_000)
-    return rows.repartition(parts).mapInArrow(scan, _PACKED)
+    return rows.repartition(max(1, math.ceil(sizes.count() / block))).mapInArrow(scan, _PACKED)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import stored
 from . import conversations, mixing, nearest, packing, stuffing
 
 
@@ -128,19 +129,36 @@ def p6_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How full the containers are, by patterns and by plain harmonic classes."""
+    """How full the containers are, by harmonic classes topped up and by plain ones."""
     sizes, packs = mixing.sized(table(spark, d, "documents")), _packs(spark, d)
     out = None
-    for method in ("topped", "harmonic"):
+    for method in ("classed", "harmonic"):
         used = packing.packed(sizes, packs, method).groupBy("pack_name", "capacity_tokens").agg(F.count_distinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
         used = used.select(F.lit(method).alias("method"), "*", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
         out = used if out is None else out.unionByName(used)
     return out
 
 
-def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    from ..runtime import stored
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind of container: documents packed whole, and how often anything is wrong (a container overfull, a token lost or twice, a text cut without need)."""
+    sizes, packs = mixing.sized(table(spark, d, "documents")), _packs(spark, d)
+    pieces = stored(packing.packed(sizes, packs), "packed")
+    keys = ["pack_name", "capacity_tokens"]
+    loads = pieces.groupBy(*keys, "container_id").agg(F.sum("tokens").alias("load")).groupBy(*keys).agg(F.count_if(F.col("load") > F.col("capacity_tokens")).alias("overfull"))
+    last = F.max(F.col("first_token") + F.col("tokens"))
+    got = pieces.groupBy(*keys, "id").agg(F.sum("tokens").alias("packed"), last.alias("last"), F.count("*").alias("parts"), F.count_distinct("first_token").alias("starts"))
+    whole = got.join(sizes.select("id", F.col("tokens").alias("due")), "id")
+    fine = (F.col("packed") == F.col("due")) & (F.col("last") == F.col("due")) & (F.col("parts") == F.col("starts"))
+    cut = F.col("parts") != F.ceil(F.col("due") / F.col("capacity_tokens"))
+    return whole.groupBy(*keys).agg(F.count_if(fine).alias("whole_documents"), F.count_if(~fine).alias("wrong_documents"), F.count_if(cut).alias("cut_without_need")).join(loads, keys)
+
+
+P6_CHECK_SQL = """
+SELECT pack_name, capacity_tokens, (SELECT count(*) FROM documents WHERE text <> '') AS whole_documents, 0 AS wrong_documents, 0 AS cut_without_need, 0 AS overfull FROM pack_sizes
+"""
 
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sizes = mixing.sized(table(spark, d, "documents"))
     rate = stored(mixing.rates(sizes, table(spark, d, "mix_targets")), "rates")
     return mixing.mix(sizes, rate), rate
@@ -155,6 +173,30 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, d))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source: its documents, and whether the mix keeps to its rate, its cap and its share."""
+    sizes = mixing.sized(table(spark, d, "documents"))
+    rate = stored(mixing.rates(sizes, table(spark, d, "mix_targets")), "rates")
+    mixed = stored(mixing.mix(sizes, rate), "mix")
+    used = mixed.groupBy("id").agg(F.count("*").alias("uses"), F.count_distinct("copy").alias("numbers"), F.max("copy").alias("last"))
+    each = sizes.filter("tokens > 0").join(rate.select("source", "rate", "max_repeats"), "source").join(used, "id", "left").fillna(0, ["uses", "numbers", "last"])
+    off = ~F.col("uses").isin(0) & ((F.col("uses") != F.col("numbers")) | (F.col("uses") != F.col("last")))
+    off = off | (F.col("uses") < F.floor("rate")) | (F.col("uses") > F.ceil("rate")) | (F.col("uses") > F.col("max_repeats"))
+    per = each.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(off).alias("off_their_rate"))
+    # A draw strays by the root of its sum of squares: five times that is never reached by chance.
+    spread = each.groupBy("source").agg(F.sqrt(F.sum(F.pow("tokens", 2))).alias("spread"))
+    whole = mixed.agg(F.sum("tokens").alias("whole"))
+    share = mixing.shares(mixed, rate).join(spread, "source", "left").crossJoin(F.broadcast(whole))
+    held = F.when(F.col("docs") == 0, F.col("actual_share") == 0).otherwise(F.abs(F.col("mixed_tokens") - F.col("rate") * F.col("tokens")) <= 5 * F.col("spread"))
+    return share.select("source", "target_share", "max_repeats", held.alias("share_held")).join(per, "source", "left").fillna(0, ["documents", "off_their_rate"])
+
+
+P7_CHECK_SQL = r"""
+WITH d AS (SELECT regexp_replace(regexp_replace(lower(trim(regexp_replace(source, '[\s\x{A0}]+', ' ', 'g'))), '[_ ]', '-', 'g'), '', '') AS source FROM documents WHERE text <> '')
+SELECT t.source, t.target_share, t.max_repeats, true AS share_held, count(d.source) AS documents, 0 AS off_their_rate FROM mix_targets t LEFT JOIN d ON d.source = t.source GROUP BY ALL
+"""
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages made of repeated keywords, links or tags."""
     return stuffing.stuffed(table(spark, d, "documents"))
@@ -166,6 +208,6 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p4_found": p4_found, "p4_conversations": p4_conversations, "p5_found": p5_found, "p5_pairs": p5_pairs,
-    "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores,
+    "p6_packed": p6_packed, "p6_fill": p6_fill, "p6_check": p6_check, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_check": p7_check, "p8_found": p8_found, "p8_scores": p8_scores,
 }
-SQL = {"p4_found": P4_FOUND_SQL, "p4_conversations": P4_CONVERSATIONS_SQL, "p5_found": P5_FOUND_SQL, "p5_pairs": P5_PAIRS_SQL}
+SQL = {"p4_found": P4_FOUND_SQL, "p4_conversations": P4_CONVERSATIONS_SQL, "p5_found": P5_FOUND_SQL, "p5_pairs": P5_PAIRS_SQL, "p6_check": P6_CHECK_SQL, "p7_check": P7_CHECK_SQL}

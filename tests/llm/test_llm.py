@@ -30,13 +30,18 @@ def test_patterns_fill_and_never_overfill():
     r = np.random.default_rng(1)
     for capacity in (16, 512):
         sizes = np.concatenate([r.integers(1, capacity + 1, 500), np.full(200, capacity // 2 + 1), np.ones(300, int)])
-        for place in (packing.topped, packing.harmonic):
+        for place in (packing.classed, packing.harmonic):
             where = place(sizes, capacity)
             load = np.bincount(where, sizes)
             assert len(where) == len(sizes) and load.max() <= capacity
             bins = len(np.unique(where))
             assert bins == where.max() + 1
-            if place is packing.topped:
+            k = capacity // sizes
+            first = np.full(bins, capacity + 1)
+            np.minimum.at(first, where, np.minimum(k, packing.SMALL) if place is packing.harmonic else k)
+            of_class = np.bincount(where[(np.minimum(k, packing.SMALL) if place is packing.harmonic else k) == first[where]], minlength=bins)
+            assert (of_class <= first).all() and all((of_class[first == c] < c).sum() <= 1 for c in np.unique(first))  # the class's fixed number, but for its last container
+            if place is packing.classed:
                 assert bins <= 1.05 * max(sizes.sum() / capacity, (2 * sizes > capacity).sum()) + 1
 
 
