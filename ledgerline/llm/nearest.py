@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import stored
+from ..runtime import blocks, drop, stored
 
 _SCANNED = (
     "part int, edge boolean, entity string, t long, id long, before_t long, before_id long, after_t long, after_id long, "
@@ -84,9 +84,12 @@ def nearest(
         right.select(re_.cast("string").alias("entity"), rt.cast("long").alias("t"), ri.cast("long").alias("id"))
         .filter("entity is not null and t is not null and id is not null").groupBy("entity", "t").agg(F.min("id").alias("id")).withColumn("right", F.lit(True))
     )
-    both = lefts.filter("entity is not null and t is not null").unionByName(rights)
-    ordered = both.repartitionByRange("entity", "t", F.col("right").desc(), "id").sortWithinPartitions("entity", "t", F.col("right").desc(), "id")
+    # Stored, because ranges are sampled before they are cut, and counted, so that no task holds more than a bounded part.
+    both = stored(lefts.filter("entity is not null and t is not null").unionByName(rights), "both")
+    parts = blocks(both.sparkSession, both.count())
+    ordered = both.repartitionByRange(parts, "entity", "t", F.col("right").desc(), "id").sortWithinPartitions("entity", "t", F.col("right").desc(), "id")
     scanned = stored(ordered.mapInArrow(_scan, _SCANNED), "scanned")
+    drop(both)
 
     # The prefix scan: one row per partition, so its size follows the number of tasks and not the data.
     edges = scanned.filter("edge").select("part", F.struct("last_entity", "last_t", "last_id").alias("last"), F.struct("first_entity", "first_t", "first_id").alias("first"), F.col("last_id").isNotNull().alias("any"))

@@ -88,9 +88,10 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     # Epoch seconds of our era stay under 1e11; what is above was written in milliseconds.
     millis = F.round(F.when(F.col("captured_at_s") > 1e11, F.col("captured_at_s")).otherwise(F.col("captured_at_s") * 1000))
     lines = table(spark, d, "parsed_lines").filter("line_class = 'request' and timestamp_utc is not null and session_id is not null").select("raw_line_id", "session_id", "timestamp_utc")
-    requests = table(spark, d, "requests").select("raw_line_id").join(lines, "raw_line_id")
+    # Both joins are on unique ids of growing tables: merged, never broadcast.
+    requests = table(spark, d, "requests").select("raw_line_id").join(lines.hint("merge"), "raw_line_id")
     pairs = nearest.nearest(
-        ok.join(five, "raw_line_id", "left_semi"), requests, (session, millis, F.col("raw_line_id")),
+        ok.join(five.hint("merge"), "raw_line_id", "left_semi"), requests, (session, millis, F.col("raw_line_id")),
         (F.col("session_id"), F.unix_millis(F.col("timestamp_utc").cast("timestamp")), F.col("raw_line_id")), 45_000,
     )
     return pairs.select(F.col("left_id").alias("reading_line_id"), F.col("right_id").alias("request_line_id"), F.col("distance").alias("distance_ms"))
