@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import copies, drift, forest
 from ..runtime import stored
-from .drift_sql import P1_FOUND_SQL
+from .drift_sql import P1_COLUMNS_SQL, P1_FOUND_SQL
 
 MISSING = "<missing>"
 
@@ -34,6 +34,16 @@ def p1_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(mapped, stored(changed, "changes"), contract)
 
 
+def p1_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Per field of the unified table: lines that fill it, and values that did not fit."""
+    contract = drift.Contract.of(table(spark, d, "line_fields"))
+    t = stored(p1_unified(spark, d), "unified")
+    paths = sorted(contract.paths())
+    filled = t.agg(*(F.count(drift.column_name(p)).alias(drift.column_name(p)) for p in paths)).select(F.explode(F.array(*(F.struct(F.lit(p).alias("field_path"), F.col(drift.column_name(p)).alias("filled")) for p in paths))).alias("x")).select("x.*")
+    failed = t.select(F.explode("failed_casts").alias("x")).groupBy("x.path").agg(F.count("*").alias("failed"))
+    return filled.join(failed, filled["field_path"] == failed["path"], "left").select("field_path", "filled", F.coalesce("failed", F.lit(0)).alias("failed"))
+
+
 def request_rows(spark: SparkSession, d: str) -> DataFrame:
     """requests with what their lines say: session, sidechain, time, run and line number."""
     lines = table(spark, d, "parsed_lines").filter("line_class = 'request'").select("raw_line_id", "session_id", "is_sidechain", "timestamp_utc", "first_run_id")
@@ -162,5 +172,5 @@ P3_BELOW_SQL = _TREE + """
 SELECT a AS raw_line_id, id AS descendant_line_id FROM (SELECT id, unnest(path[:-2]) AS a FROM walk) WHERE a % 20 = 0
 """
 
-QUERIES = {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_preorder": p3_preorder, "p3_full_paths": p3_full_paths, "p3_below": p3_below}
-SQL = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_paths": P3_PATHS_SQL, "p3_descendants": P3_DESCENDANTS_SQL, "p3_preorder": P3_PREORDER_SQL, "p3_full_paths": P3_FULL_PATHS_SQL, "p3_below": P3_BELOW_SQL}
+QUERIES = {"p1_found": p1_found, "p1_unified": p1_unified, "p1_columns": p1_columns, "p2_found": p2_found, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_preorder": p3_preorder, "p3_full_paths": p3_full_paths, "p3_below": p3_below}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_columns": P1_COLUMNS_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_paths": P3_PATHS_SQL, "p3_descendants": P3_DESCENDANTS_SQL, "p3_preorder": P3_PREORDER_SQL, "p3_full_paths": P3_FULL_PATHS_SQL, "p3_below": P3_BELOW_SQL}

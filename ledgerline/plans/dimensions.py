@@ -34,12 +34,11 @@ THIS_MACHINE = ("m-desk", "Desk")
 ZONE, ZONE_HOURS = "-05:00", -5
 #: Attachments a walk to a hit's cause passes by themselves; a queued command only as a task notification. Fixed values.
 PASSED_ATTACHMENTS = (
-    "total_tokens_reminder batching_reminder_sent silent_turn_reminder todo_reminder task_reminder plan_mode environment date date_change model "
-    "session_context instructions nested_memory credential_org auto_mode command_permissions remote_session_change prompt_snapshot "
-    "deferred_tools_record deferred_tools_delta mcp_instructions_delta skill_listing agent_listing_delta invoked_skills hook_success "
-    "hook_system_message hook_additional_context bash_output_audience_note read_truncation_notice structured_output edited_text_file "
-    "compact_file_reference thinking_drop thinking_stripped file plan_mode_exit"
-).split()
+    "total_tokens_reminder", "batching_reminder_sent", "silent_turn_reminder", "todo_reminder", "task_reminder", "plan_mode", "environment", "date", "date_change", "model",
+    "session_context", "instructions", "nested_memory", "credential_org", "auto_mode", "command_permissions", "remote_session_change", "prompt_snapshot", "deferred_tools_record",
+    "deferred_tools_delta", "mcp_instructions_delta", "skill_listing", "agent_listing_delta", "invoked_skills", "hook_success", "hook_system_message", "hook_additional_context",
+    "bash_output_audience_note", "read_truncation_notice", "structured_output", "edited_text_file", "compact_file_reference", "thinking_drop", "thinking_stripped", "file", "plan_mode_exit",
+)
 #: Origin of lines that a client writes when it goes on by itself after a reset.
 CONTINUATION = "task-notification"
 

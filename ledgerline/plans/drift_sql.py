@@ -11,7 +11,7 @@ _FITS = r"""CASE form WHEN 'semver' THEN regexp_full_match(s, '\d+\.\d+\.\d+([-+
 _WORDS = r"""string_split_regex(lower(regexp_replace(regexp_replace({0}, '^.*\.', ''), '([a-z])([A-Z])', '\1_\2', 'g')), '[^a-z0-9]+')"""
 _NEAR = f"-len(list_intersect({_WORDS.format('old_path')}, {_WORDS.format('new_path')}))"
 
-P1_FOUND_SQL = rf"""
+_CHANGES = rf"""
 WITH RECURSIVE lines AS (
   SELECT raw_line_id AS id, source_file_id AS f, first_run_id AS r, j, CASE WHEN j->>'$.type' = 'system' THEN CASE WHEN j->>'$.subtype' = 'api_error' THEN 'retry_notice' ELSE 'system' END
          WHEN j->>'$.type' IN ('user', 'assistant', 'attachment') THEN j->>'$.type' ELSE 'any' END AS carrier
@@ -34,9 +34,33 @@ fits AS (
   GROUP BY ALL HAVING bool_and(kind = 'null' OR list_contains(string_split(json_types, '|'), kind)) AND bool_or(kind <> 'null') AND bool_and(kind = 'null' OR {_FITS})),
 near AS (SELECT *, {_NEAR} AS near FROM fits),
 renamed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY f, r, new_path ORDER BY near, old_path, carrier) AS i FROM near) WHERE i = 1 QUALIFY row_number() OVER (PARTITION BY f, r, carrier, old_path ORDER BY near, new_path) = 1)
+"""
+
+P1_FOUND_SQL = _CHANGES + """
 SELECT DISTINCT f AS source_file_id, r AS first_run_id, change_kind, old_path, new_path FROM (
   SELECT x.f, x.r, 'retyped' AS change_kind, path AS old_path, path AS new_path FROM val x JOIN field c ON c.field_path = x.path AND (c.carrier = 'any' OR c.carrier = x.carrier) WHERE kind <> 'null' AND NOT list_contains(string_split(c.json_types, '|'), kind)
   UNION ALL SELECT f, r, 'removed', path, '' FROM missing m WHERE NOT EXISTS (SELECT 1 FROM renamed n WHERE n.f = m.f AND n.r = m.r AND n.carrier = m.carrier AND n.old_path = m.path)
   UNION ALL SELECT f, r, 'renamed', old_path, new_path FROM renamed
   UNION ALL SELECT f, r, 'added', '', path FROM fresh u WHERE NOT EXISTS (SELECT 1 FROM renamed n WHERE n.f = u.f AND n.r = u.r AND n.new_path = u.path))
 """
+
+# A field's value is the listed path's own, or that of the path it was renamed to in its batch; text, true and false, numbers and whole numbers by the contract.
+P1_COLUMNS_SQL = _CHANGES + r""",
+swap AS (SELECT DISTINCT f, r, old_path, new_path FROM renamed),
+carried AS (
+  SELECT x.id, x.carrier, x.path, x.kind, x.s FROM val x WHERE x.path IN (SELECT field_path FROM line_fields)
+  UNION ALL
+  SELECT x.id, x.carrier, s.old_path, x.kind, x.s FROM val x JOIN swap s ON s.f = x.f AND s.r = x.r AND s.new_path = x.path
+  WHERE NOT EXISTS (SELECT 1 FROM val y WHERE y.id = x.id AND y.path = s.old_path)),
+rule AS (
+  SELECT field_path, list_distinct(flatten(list(string_split(json_types, '|')))) AS types, list_distinct(list(value_form)) AS forms, list(carrier) AS carriers FROM line_fields GROUP BY field_path),
+held AS (
+  SELECT c.*, r.types, r.forms,
+    EXISTS (SELECT 1 FROM line_fields l WHERE l.field_path = c.path AND (l.carrier = 'any' OR l.carrier = c.carrier) AND list_contains(string_split(l.json_types, '|'), c.kind))
+    OR (NOT list_contains(r.carriers, 'any') AND NOT list_contains(r.carriers, c.carrier) AND list_contains(r.types, c.kind)) AS ok,
+    list_filter(r.types, lambda t: t <> 'null') AS scalar
+  FROM carried c JOIN rule r ON r.field_path = c.path),
+judged AS (
+  SELECT path, kind, ok AND kind <> 'null' AND CASE WHEN len(scalar) = 1 AND scalar[1] = 'number' AND len(list_filter(forms, lambda x: x NOT IN ('count', 'epoch_s'))) = 0 THEN regexp_full_match(s, '-?\d+') ELSE true END AS fits FROM held)
+SELECT r.field_path, count(*) FILTER (WHERE fits) AS filled, count(*) FILTER (WHERE kind <> 'null' AND NOT fits) AS failed FROM rule r LEFT JOIN judged j ON j.path = r.field_path GROUP BY r.field_path
+"""

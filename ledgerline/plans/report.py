@@ -415,9 +415,11 @@ def _identity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scrubbed(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.exchange import scrubbed
+    """What may leave the machine, by the members of each line that leave."""
+    from ..sources.exchange import ORIGIN, scrubbed
 
-    return scrubbed(Telemetry(spark, d).table("raw_lines")).select("raw_line_id", "origin", F.length("line").alias("characters"))
+    members = F.array_sort(F.array_except(F.json_object_keys("line"), F.array(F.lit(ORIGIN))))
+    return scrubbed(Telemetry(spark, d).table("raw_lines")).select("raw_line_id", "origin", F.array_join(members, ",").alias("members"))
 
 
 def _verify(spark: SparkSession, d: str) -> DataFrame:

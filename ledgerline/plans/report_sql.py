@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from ..sources import exchange
 from .view_sql import _MONTH, _TOKENS, SELECTS, with_ctes
 
 _ORDER = "ORDER BY w.source_file_id, w.first_run_id, w.line_number, raw_line_id"
@@ -84,4 +84,43 @@ _PLAIN = {
         UNION ALL SELECT 'api-list-price', month, api_list_price_usd FROM ({SELECTS['v35_api_list_price']}) UNION ALL SELECT 'price-by-machine', machine_id, list_price_usd FROM machine_prices)""".replace("AT(reset_at_utc)", "CASE WHEN date_part('millisecond', reset_at_utc) % 1000 = 0 THEN strftime(reset_at_utc, '%Y-%m-%d %H:%M:%S') ELSE rtrim(strftime(reset_at_utc, '%Y-%m-%d %H:%M:%S.%f'), '0') END"),
 }
 
-SQL = {name: with_ctes(s) for name, s in _PLAIN.items()}
+_KEPT_SQL = ", ".join(f"'{k}'" for k in sorted({p.partition(".")[0] for p in exchange.LOG_RULES}))
+_JSON = "SELECT raw_line_id, source_file_id, relative_path, line_number, kind, content_hash, TRY_CAST(TRY(decode(line_bytes)) AS JSON) AS j FROM raw_lines"
+_NUMBER = "('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT')"
+# Queries over the lines' own JSON; limit texts are those of every hit, copies included.
+_OWN = {
+    "ref_p13_scrubbed_lines": f"""
+      SELECT raw_line_id, substr(sha256(relative_path || chr(10) || content_hash), 1, 32) AS origin,
+        CASE kind WHEN 'log' THEN array_to_string(list_sort(list_distinct(list_filter(json_keys(j), lambda k: k IN ({_KEPT_SQL})))), ',') ELSE 'captured_at_s,hook_version,payload_b64' END AS members
+      FROM ({_JSON}) WHERE CASE kind WHEN 'log' THEN json_type(j) = 'OBJECT' ELSE raw_line_id IN (SELECT raw_line_id FROM status_readings WHERE status = 'ok') END""",
+    "ref_s21_event_lines": f"""
+      SELECT p.raw_line_id, p.line_class, p.session_id, p.timestamp_raw, w.relative_path, w.line_number, CASE WHEN json_type(j->'$.error') = 'VARCHAR' THEN j->>'$.error' END AS error,
+        coalesce(CASE WHEN json_type(j->'$.apiErrorStatus') IN {_NUMBER} THEN CAST(j->>'$.apiErrorStatus' AS DOUBLE) END, CASE WHEN p.line_class = 'retry_notice' AND json_type(j->'$.error.status') IN {_NUMBER} THEN CAST(j->>'$.error.status' AS DOUBLE) END) AS api_error_status,
+        CASE WHEN p.line_class <> 'limit_hit' THEN NULL WHEN contains(lower(message_text), 'session limit') OR contains(lower(message_text), '5-hour limit') THEN 'five_hour' WHEN contains(lower(message_text), 'weekly limit') THEN 'seven_day' END AS text_window,
+        CASE WHEN p.line_class = 'limit_hit' THEN nullif(trim(regexp_extract(message_text, '(?i)resets (.*)$', 1)), '') END AS reset_text,
+        CASE WHEN p.line_class = 'limit_hit' AND j->>'$.quotaLimits.rateLimitType' IN ('five_hour', 'seven_day') THEN j->>'$.quotaLimits.rateLimitType' END AS quota_window,
+        CASE WHEN p.line_class = 'limit_hit' AND json_type(j->'$.quotaLimits.resetsAt') IN {_NUMBER} THEN make_timestamp(CAST(j->>'$.quotaLimits.resetsAt' AS BIGINT) * 1000000) END AS quota_reset_at_utc,
+        CAST(p.line_class = 'retry_notice' AND coalesce(json_type(j->'$.error.rateLimits'), 'NULL') <> 'NULL' AS INTEGER) AS retry_rate_limits
+      FROM parsed_lines p JOIN ({_JSON}) w USING (raw_line_id) WHERE p.line_class IN ('limit_hit', 'api_error', 'synthetic_other', 'retry_notice', 'model_fallback')""",
+    "ref_p10_line_problems": f"""
+      WITH lines AS (SELECT p.*, j FROM parsed_lines p JOIN ({_JSON}) USING (raw_line_id)), asks AS (SELECT * FROM lines WHERE line_class = 'request'),
+      hits AS (
+        SELECT raw_line_id, j, CASE WHEN contains(lower(message_text), 'session limit') OR contains(lower(message_text), '5-hour limit') THEN 'five_hour' WHEN contains(lower(message_text), 'weekly limit') THEN 'seven_day' END AS said,
+          CASE WHEN j->>'$.quotaLimits.rateLimitType' IN ('five_hour', 'seven_day') THEN j->>'$.quotaLimits.rateLimitType' END AS quota, date_trunc('minute', timestamp_utc) AS minute,
+          TRY_CAST(j->>'$.quotaLimits.resetsAt' AS DOUBLE) AS due, regexp_extract(message_text, '(?i)resets (\\d{{1,2}}(:\\d\\d)?[ap]m .UTC.)\\s*$', 1) AS clock
+        FROM lines WHERE line_class = 'limit_hit'),
+      timed AS (SELECT *, date_trunc('day', minute) + to_minutes((CAST(regexp_extract(clock, '^(\\d+)', 1) AS INTEGER) % 12 + CASE WHEN contains(clock, 'pm') THEN 12 ELSE 0 END) * 60 + coalesce(TRY_CAST(regexp_extract(clock, ':(\\d\\d)', 1) AS INTEGER), 0)) AS today FROM hits WHERE clock <> ''),
+      problem AS (
+        SELECT raw_line_id, 'missing_field' AS problem, unnest(['input_tokens', 'output_tokens', 'cache_read_input_tokens']) AS name, j FROM asks
+        UNION ALL SELECT raw_line_id, 'unparsed_timestamp', '', j FROM asks WHERE timestamp_utc IS NULL
+        UNION ALL SELECT raw_line_id, 'non_message_iteration', '', j FROM (SELECT *, unnest(CAST(j->'$.message.usage.iterations' AS JSON[])) AS i FROM asks WHERE json_type(j->'$.message.usage.iterations') = 'ARRAY') WHERE json_type(i) = 'OBJECT' AND i->>'$.type' IS DISTINCT FROM 'message'
+        UNION ALL SELECT raw_line_id, 'unusable_quota_field', '', j FROM hits WHERE json_exists(j, '$.quotaLimits') AND json_type(j->'$.quotaLimits') <> 'OBJECT'
+        UNION ALL SELECT raw_line_id, 'unusable_quota_field', '', j FROM hits WHERE json_type(j->'$.quotaLimits') = 'OBJECT' AND json_exists(j, '$.quotaLimits.rateLimitType') AND quota IS NULL
+        UNION ALL SELECT raw_line_id, 'unusable_quota_field', '', j FROM hits WHERE json_type(j->'$.quotaLimits') = 'OBJECT' AND json_exists(j, '$.quotaLimits.resetsAt') AND coalesce(json_type(j->'$.quotaLimits.resetsAt') NOT IN {_NUMBER} OR due <> floor(due) OR due <= 0, true)
+        UNION ALL SELECT raw_line_id, 'quota_window_disagrees', '', j FROM hits WHERE quota <> said
+        UNION ALL SELECT raw_line_id, 'quota_reset_disagrees', '', j FROM timed WHERE abs(due - epoch(CASE WHEN today < minute THEN today + INTERVAL 1 DAY ELSE today END)) >= 60)
+      SELECT problem, count(*) AS n, count(DISTINCT raw_line_id) AS lines FROM problem
+      WHERE problem <> 'missing_field' OR coalesce(json_type(json_extract(j, '$.message.usage.' || name)), '') NOT IN {_NUMBER} GROUP BY problem""",
+}
+
+SQL = {name: with_ctes(s) for name, s in _PLAIN.items()} | _OWN

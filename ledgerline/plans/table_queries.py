@@ -357,11 +357,19 @@ def q33_anti_semi(spark, t):
     return finished.unionByName(open_).unionByName(c.join(every, "c_custkey", "left_anti").withColumn("state", F.lit("none")))
 
 
-@query(None)
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count, true AS free_of_order, true AS sees_a_copy, true AS sees_a_change FROM {n}" for n in ("orders", "events", "customer")))
 def q34_fingerprint(spark, t):
+    """Each table's fingerprint: the same in another order and partitioning, another one with a row more or a value changed."""
     out = None
     for name in ("orders", "events", "customer"):
-        f = lineage.fingerprint(t(name)).select(F.lit(name).alias("table_name"), "*")
+        df = t(name)
+        key = df.columns[0]
+        first = df.orderBy(key).limit(1)
+        prints = [lineage.fingerprint(x).select("*", F.lit(i).alias("i")) for i, x in enumerate((df, df.repartition(5, F.reverse(F.col(key).cast("string"))), df.unionByName(first), df.withColumn(key, F.col(key) + F.when(F.col(key) == F.lit(first.first()[0]), 1).otherwise(0))))]
+        all_ = prints[0].unionByName(prints[1]).unionByName(prints[2]).unionByName(prints[3])
+        of = lambda i: F.max(F.when(F.col("i") == i, F.col("checksum")))
+        f = all_.agg(F.max(F.when(F.col("i") == 0, F.col("rows"))).alias("row_count"), (of(0) == of(1)).alias("free_of_order"), (of(0) != of(2)).alias("sees_a_copy"), (of(0) != of(3)).alias("sees_a_change"))
+        f = f.select(F.lit(name).alias("table_name"), "*")
         out = f if out is None else out.unionByName(f)
     return out
 
@@ -370,8 +378,8 @@ def q34_fingerprint(spark, t):
 FROM (SELECT event_id, unnest(json_keys(props)) AS k, props FROM events), LATERAL (SELECT TRY_CAST(json_extract_string(props, '$.' || k) AS BIGINT) AS v)""")
 def q35_variant_explode(spark, t):
     e = t("events").select("event_id", F.try_parse_json("props").alias("j")).filter("j is not null")
-    e.createOrReplaceTempView("_events_variant")
-    rows = spark.sql("SELECT event_id, x.key AS key, try_variant_get(x.value, '$', 'bigint') AS value FROM _events_variant, LATERAL variant_explode(j) x")
+    x = spark.tvf.variant_explode(F.col("j").outer()).select("key", F.col("value").alias("v"))
+    rows = e.lateralJoin(x).select("event_id", "key", F.try_variant_get("v", "$", "bigint").alias("value"))
     return rows.withColumn("validity", F.when(F.col("value").isNull(), "no_number").when(F.col("value") < 0, "negative").when(F.col("value") > 50, "high").otherwise("valid"))
 
 

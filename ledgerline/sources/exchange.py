@@ -9,7 +9,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,61 +18,74 @@ from pyspark.sql import functions as F
 from ..functions.lines import derive_spool
 from ..functions.strict_json import compact, member, parse_object
 
-#: Fields of a log line that go on as written. Fixed values.
-KEPT = "type subtype sessionId uuid parentUuid timestamp isSidechain isMeta isApiErrorMessage requestId apiErrorStatus version originalModel fallbackModel apiRefusalCategory".split()
+# Fields of a log line that go on as written.
+KEPT = (
+    "type", "subtype", "sessionId", "uuid", "parentUuid", "timestamp", "isSidechain", "isMeta", "isApiErrorMessage", "requestId", "apiErrorStatus", "version", "originalModel", "fallbackModel",
+    "apiRefusalCategory",
+)
+#: path -> what leaves of it. "[]" are a list's items, "!" is what stands where an object is expected. Anything not
+#: listed stays behind; where a path goes on and something else than an object or list stands there, only what has no text leaves.
+LOG_RULES = {
+    **dict.fromkeys(KEPT, "whole"),
+    "error.!": "whole", "error.status": "whole", "error.isNetworkDown": "whole", "error.rateLimits": "presence",
+    "quotaLimits.rateLimitType": "whole", "quotaLimits.resetsAt": "whole",
+    "origin.kind": "whole",
+    "attachment.type": "whole", "attachment.commandMode": "whole",
+    "message.id": "whole", "message.model": "whole", "message.usage": "whole", "message.content.[].type": "whole",
+}
+#: A client's own error notice keeps its text.
+NOTICE_RULES = {p: r for p, r in LOG_RULES.items() if not p.startswith("message.content")} | {"message.content": "whole"}
+PAYLOAD_RULES = dict.fromkeys(("session_id", "version", "rate_limits", "model.id", "cost.total_cost_usd"), "whole")
+SPOOL_RULES = dict.fromkeys(("captured_at_s", "hook_version", "payload_b64"), "whole")
 ORIGIN = "lineOrigin"
 EXPORT_NAME = re.compile(r"(log|spool)-(\d{4}-(?:0[1-9]|1[0-2]))\.jsonl\.gz")
 MOST_LINE, MOST_FILE, MOST_EXPANDED = 64 << 10, 64 << 20, 512 << 20
 #: Lines of an exported file: of the longest that an import takes, so many stay below MOST_FILE uncompressed.
 FILE_LINES = 1000
 
+_LEAVES = {"whole": lambda v: v, "presence": lambda v: None if v is None else {}}
 
-def _only(o: object, names: tuple[str, ...]) -> object:
-    """Of an object the named members; a string becomes empty, anything else stays (it has no text)."""
-    if type(o) is dict:
-        return {n: o[n] for n in names if n in o}
-    return "" if type(o) is str else o
 
+def _tree(rules: dict[str, str]) -> dict:
+    """The rules by their paths' members; ends are functions."""
+    out: dict = {}
+    for path, rule in rules.items():
+        *upper, last = path.split(".")
+        at = out
+        for name in upper:
+            at = at.setdefault(name, {})
+        at[last] = _LEAVES[rule]
+    return out
+
+
+_LOG, _NOTICE, _PAYLOAD, _SPOOL = map(_tree, (LOG_RULES, NOTICE_RULES, PAYLOAD_RULES, SPOOL_RULES))
 
-def _shape(content: object) -> object:
-    """A message's content without its words: block types only."""
-    if type(content) is list:
-        return [_only(b, ("type",)) if type(b) is dict else None for b in content]
-    return "" if type(content) is str else content
+
+def masked(value: object, rules: dict | Callable) -> object:
+    """What the rules let through of a JSON value, in its own order."""
+    if callable(rules):
+        return rules(value)
+    if type(value) is dict:
+        return {k: masked(v, rules[k]) for k, v in value.items() if k in rules}
+    if type(value) is list:
+        return [masked(v, rules["[]"]) if type(v) is dict else None for v in value] if "[]" in rules else []
+    if "!" in rules:
+        return rules["!"](value)
+    return "" if type(value) is str else value
 
 
 def scrub_log(line: dict) -> dict:
-    """A log line without what people or models wrote; a client's own error notice keeps its text."""
-    out = {n: line[n] for n in KEPT if n in line}
-    if "error" in line:
-        e = line["error"]
-        out["error"] = e
-        if type(e) is dict:
-            out["error"] = _only(e, ("status", "isNetworkDown"))
-            if "rateLimits" in e:
-                out["error"]["rateLimits"] = None if e["rateLimits"] is None else {}
-    for name, members in (("quotaLimits", ("rateLimitType", "resetsAt")), ("origin", ("kind",)), ("attachment", ("type", "commandMode"))):
-        if name in line:
-            out[name] = _only(line[name], members)
-    if "message" in line:
-        m = line["message"]
-        out["message"] = _only(m, ("id", "model", "usage"))
-        if type(m) is dict and "content" in m:
-            out["message"]["content"] = m["content"] if line.get("isApiErrorMessage") is True else _shape(m["content"])
-    return out
+    """A log line without what people or models wrote."""
+    return masked(line, _NOTICE if line.get("isApiErrorMessage") is True else _LOG)
 
 
 def scrub_spool(raw: bytes | None) -> dict | None:
     """A whole status line with only session, version, model, cost and limits; None for any other."""
     if derive_spool(raw)["status"] != "ok":
         return None
-    line = parse_object(raw)
-    payload = parse_object(base64.b64decode(line["payload_b64"]))
-    kept = _only(payload, ("session_id", "version", "rate_limits"))
-    for name, inner in (("model", "id"), ("cost", "total_cost_usd")):
-        if name in payload:
-            kept[name] = _only(payload[name], (inner,))
-    return {"captured_at_s": line["captured_at_s"], "hook_version": line["hook_version"], "payload_b64": base64.b64encode(compact(kept).encode()).decode()}
+    line = masked(parse_object(raw), _SPOOL)
+    payload = masked(parse_object(base64.b64decode(line["payload_b64"])), _PAYLOAD)
+    return line | {"payload_b64": base64.b64encode(compact(payload).encode()).decode()}
 
 
 def line_origin(relative_path: str, content_hash: str) -> str:
@@ -102,14 +115,15 @@ def scrubbed(raw: DataFrame) -> DataFrame:
 def export(raw: DataFrame, run_month: DataFrame, folder: str) -> None:
     """Gzip JSONL by kind and month of the run that first saw the line (run_month: first_run_id, month), months replaced whole.
 
-    A month can be many files; each partition folder is replaced dynamically, so other months stay.
+    Every task writes its own files of each month, so no month meets in one task; each partition folder is replaced
+    dynamically, so other months stay.
     """
     spark = raw.sparkSession
-    lines = scrubbed(raw).join(F.broadcast(run_month), "first_run_id")  # two runs a day
+    lines = scrubbed(raw).join(run_month, "first_run_id")
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        lines.select("line", "kind", "month").repartition("kind", "month").write.mode("overwrite").partitionBy("kind", "month").option("maxRecordsPerFile", FILE_LINES).option("compression", "gzip").text(folder)
+        lines.select("line", "kind", "month").write.mode("overwrite").partitionBy("kind", "month").option("maxRecordsPerFile", FILE_LINES).option("compression", "gzip").text(folder)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 

@@ -6,6 +6,8 @@ import json
 import math
 import os
 import re
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,34 +17,35 @@ _RATES = ("input", "output", "cache_write_5m", "cache_write_1h", "cache_read")
 _DAY, _MONTH, _USD = re.compile(r"\d{4}-\d\d-\d\d"), re.compile(r"\d{4}-(?:0[1-9]|1[0-2])"), re.compile(r"\d+(?:\.\d+)?")
 
 
-def _five(o: object, where: str) -> tuple[float, ...]:
-    got = [o.get(r) if isinstance(o, dict) else None for r in _RATES]
-    if not all(type(x) in (int, float) and math.isfinite(x) and x >= 0 for x in got):
-        raise ValueError(f"{where} needs five rates of 0 or more")
-    return tuple(float(x) for x in got)
+def _rate(v: object) -> bool:
+    return type(v) in (int, float) and math.isfinite(v) and v >= 0
+
+
+#: Each field of a price row and what it must satisfy.
+CHECKS: dict[str, Callable[[object], bool]] = {
+    "model_id": lambda v: isinstance(v, str) and v != "",
+    "source_url": lambda v: isinstance(v, str) and v != "",
+    "effective_from": lambda v: isinstance(v, str) and _DAY.fullmatch(v) is not None,
+    "verified_on": lambda v: isinstance(v, str) and _DAY.fullmatch(v) is not None,
+    **dict.fromkeys(_RATES, _rate),
+    "fast": lambda v: v is None or (isinstance(v, dict) and all(_rate(v.get(r)) for r in _RATES)),
+    "standard_rate_max_input_tokens": lambda v: v is None or (type(v) is int and v >= 1),
+}
 
 
 def rows(document: object) -> list[tuple]:
-    """A price document's rows as PRICE_SCHEMA has them; anything doubtful is refused."""
+    """A price document's rows as PRICE_SCHEMA has them; a document with anything doubtful is refused, naming all of it."""
     given = document.get("rows") if isinstance(document, dict) else None
     if not isinstance(given, list):
         raise ValueError("a price table has a list of rows")
-    out: dict[tuple, tuple] = {}
-    for i, r in enumerate(given):
-        where = f"row {i}"
-        rates = _five(r, where)
-        text = {k: r.get(k) for k in ("model_id", "effective_from", "verified_on", "source_url")}
-        if not all(isinstance(v, str) and v for v in text.values()) or not all(_DAY.fullmatch(text[k]) for k in ("effective_from", "verified_on")):
-            raise ValueError(f"{where} lacks a name, a day or a source")
-        most = r.get("standard_rate_max_input_tokens")
-        if most is not None and (type(most) is not int or most < 1):
-            raise ValueError(f"{where} has a bad input limit")
-        fast = (None,) * 5 if r.get("fast") is None else _five(r["fast"], where)
-        key = (text["model_id"], text["effective_from"])
-        if key in out:
-            raise ValueError(f"{where} repeats {key}")
-        out[key] = (*key, *rates, *fast, most, text["verified_on"])
-    return list(out.values())
+    faults = [f"row {i}: {name}" for i, r in enumerate(given) for name, good in CHECKS.items() if not good(r.get(name) if isinstance(r, dict) else None)]
+    if not faults:
+        named = Counter((r["model_id"], r["effective_from"]) for r in given)
+        faults = [f"{model} from {day} stands {n} times" for (model, day), n in named.items() if n > 1]
+    if faults:
+        raise ValueError("; ".join(faults))
+    five = lambda o: tuple(float(o[r]) if o else None for r in _RATES)
+    return [(r["model_id"], r["effective_from"], *five(r), *five(r.get("fast")), r.get("standard_rate_max_input_tokens"), r["verified_on"]) for r in given]
 
 
 def price_table(spark: SparkSession, path: str) -> DataFrame:
