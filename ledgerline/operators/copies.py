@@ -31,6 +31,13 @@ def latest_by(df: DataFrame, keys: list[str], order: Column, *, keep_null_keys:
     return best.unionByName(df.filter(null)) if keep_null_keys else best
 
 
+def key124(scope: Column, key: Column) -> Column:
+    """(scope, key) as one number of 124 hashed bits, null where key is: narrow, and of fixed width for hash aggregates."""
+    half = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 62)).cast("decimal(38,0)")
+    both = (half(scope, key) * F.lit(Decimal(1 << 62)).cast("decimal(38,0)")).cast("decimal(38,0)") + half(F.lit(0x9E3779B9), key, scope)
+    return F.when(key.isNotNull(), both.cast("decimal(38,0)"))
+
+
 def identifier_labels(triples: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """What links distinct identifiers (scope, primary, secondary; primary or secondary may be null).
 
@@ -98,12 +105,12 @@ def dropped_copies(rows: DataFrame, id: str, scope: Column, primary: str, second
     """The `id` of every row that isn't the kept one of its group of copies.
 
     order: whole numbers, never null, whose largest values win, one after another; id (unique, a long) decides at last.
-    Rows without both identifiers have no copies, rows without id are left out. Empty input: empty result. `rows` is
+    Rows without both identifiers have no copies, rows without id are left out. Identifiers are compared by key124. Empty input: empty result. `rows` is
     read once.
     """
     cols = [f"_o{i}" for i in range(len(order))]
     keyed = rows.filter((F.col(primary).isNotNull() | F.col(secondary).isNotNull()) & F.col(id).isNotNull()).select(
-        scope.alias("scope"), F.col(primary).alias("primary"), F.col(secondary).alias("secondary"), *(o.cast("long").alias(c) for o, c in zip(order, cols, strict=True)), F.col(id).cast("long").alias("_id")
+        F.lit(0).alias("scope"), key124(scope, F.col(primary)).alias("primary"), key124(scope, F.col(secondary)).alias("secondary"), *(o.cast("long").alias(c) for o, c in zip(order, cols, strict=True)), F.col(id).cast("long").alias("_id")
     )
     keyed = stored(keyed, "keyed")
     whole, without = _packed(keyed, [*cols, "_id"]), None
