@@ -55,7 +55,7 @@ def copy_labels(lines: DataFrame, requests: DataFrame) -> DataFrame:
     """raw_line_id, copy_group of each row of requests with an identifier: equal for copies by p2, whichever rows link them."""
     asked = lines.filter("line_class = 'request'").select("raw_line_id", "session_id")
     r = requests.select("raw_line_id", "message_id", "request_id").filter("message_id is not null or request_id is not null").join(asked, "raw_line_id", "left")
-    by = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(F.coalesce("session_id", F.lit("<missing>")), c))
+    by = lambda c: copies.key124(F.coalesce("session_id", F.lit("<missing>")), F.col(c))
     r = stored(r.select("raw_line_id", by("message_id").alias("primary"), by("request_id").alias("secondary")), "request-ids")
     triples = r.select(F.lit(0).alias("scope"), "primary", "secondary").distinct()
     by_secondary, by_primary = copies.identifier_labels(stored(triples, "identifiers"))
@@ -77,7 +77,7 @@ def message_nodes(lines: DataFrame, requests: DataFrame) -> tuple[DataFrame, Dat
     is_request = F.col("line_class") == "request"
     labels = copy_labels(lines, requests)
     asks, other = rows.filter(is_request).join(labels, "raw_line_id", "left"), rows.filter(~is_request | is_request.isNull())
-    rows = asks.unionByName(other.withColumn("copy_group", F.lit(None).cast("long")))
+    rows = asks.unionByName(other.withColumn("copy_group", F.lit(None).cast("decimal(38,0)")))
     any_ = lambda c: F.coalesce(F.max(F.when(c, True)), F.lit(False))
     nodes = stored(
         forest.nodes_of(
