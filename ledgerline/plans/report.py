@@ -9,11 +9,12 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.intervals import contained_in
 from ..operators.lineage import agreement, differences, ordered_ids, resum
 from ..runtime import stored
 from ..sources import derive
 from . import dimensions as dim
-from .views import TOKENS, Telemetry, ms
+from .views import DAY_MS, TOKENS, Telemetry, length_s, ms
 
 CLASSES = "malformed limit_hit api_error synthetic_other request retry_notice model_fallback ignored_type".split()
 
@@ -136,6 +137,11 @@ class Reports(Telemetry):
         """grp, value (as reported), resummed (from the events) and whether they agree: one query per metric."""
         return self._explained(*self.explanations()[metric])
 
+    def explained_events(self, metric: str, most: int | None = 20) -> DataFrame:
+        """The events behind a metric's numbers, group by group; at most `most` to show (None: all). Sums always take all."""
+        events = self.explanations()[metric][1].orderBy("grp", F.desc_nulls_last("contribution"))
+        return events if most is None else events.limit(most)
+
     def _explained(self, reported: DataFrame, events: DataFrame, unit: str, zero: bool) -> DataFrame:
         return agreement(reported, _all_groups(reported, resum(events, ["grp"], F.col("contribution"), zero), zero), ["grp"], "value")
 
@@ -149,8 +155,8 @@ class Reports(Telemetry):
 
     # --- R8: against another tool's totals -----------------------------------------------------------------
 
-    def verify_totals(self) -> DataFrame:
-        """Tokens by day and model of responses of which any copy lies in a file of this machine that is still there."""
+    def verify_totals(self, cost: bool = False) -> DataFrame:
+        """Tokens (and list price) by day and model of responses of which any copy lies in a file of this machine that is still there."""
         here = self.table("source_files").join(self.machine_files(), "source_file_id", "left_anti").filter("size_bytes is not null").select("source_file_id")
         visible = self.request_lines.join(here, "source_file_id", "left_semi").select("raw_line_id", "dedup_key")
         d = self.requests_dedup.filter("timestamp_utc is not null")
@@ -158,16 +164,20 @@ class Reports(Telemetry):
         by_line = d.filter("dedup_key is null").join(visible.select("raw_line_id"), "raw_line_id", "left_semi").select(*by_key.columns)
         zero = lambda c: F.coalesce(c, F.lit(0))
         written = zero("cache_write_5m_tokens") + zero("cache_write_1h_tokens") + zero("cache_write_unsplit_tokens")
-        return by_key.unionByName(by_line).groupBy(F.date_format("timestamp_utc", "yyyy-MM-dd").alias("day"), "model").agg(
-            F.sum("input_tokens").alias("input"), F.sum("output_tokens").alias("output"), F.sum("cache_read_tokens").alias("cache_read"), F.sum(written).alias("cache_write")
-        )
+        sums = [F.sum("input_tokens").alias("input"), F.sum("output_tokens").alias("output"), F.sum("cache_read_tokens").alias("cache_read"), F.sum(written).alias("cache_write")]
+        rows = by_key.unionByName(by_line)
+        if cost:
+            rows = rows.join(self.request_costs.select("raw_line_id", "total_usd"), "raw_line_id", "left")
+            sums.append(F.coalesce(F.sum("total_usd"), F.lit(0.0)).alias("cost"))
+        return rows.groupBy(F.date_format("timestamp_utc", "yyyy-MM-dd").alias("day"), "model").agg(*sums)
 
     def verify(self, external: DataFrame) -> DataFrame:
-        """Where our totals and another tool's (same columns) differ, on the days that both have."""
-        ours = self.verify_totals()
+        """Where our totals and another tool's (same columns, `cost` if it has one) differ, on the days that both have; cost by more than a billionth."""
+        fields = ["input", "output", "cache_read", "cache_write", *(["cost"] if "cost" in external.columns else [])]
+        ours = self.verify_totals("cost" in fields)
         days = ours.select("day").distinct().join(external.select("day").distinct(), "day", "left_semi")
         side = lambda df: df.join(days, "day", "left_semi")
-        return differences(side(ours), side(external), ["day", "model"], ["input", "output", "cache_read", "cache_write"])
+        return differences(side(ours), side(external), ["day", "model"], fields, {"cost": 1e-9})
 
     def cost_by_day_model(self) -> DataFrame:
         """A20."""
@@ -248,12 +258,22 @@ class Reports(Telemetry):
         """H5: readings captured after their window's reset."""
         return self._placed(self.window_readings.filter("after_reset = 1").select("raw_line_id")).agg(F.count("*").alias("n"), self._ids().alias("ids"))
 
+    def _listed(self, events: DataFrame, group: Column) -> DataFrame:
+        """grp, raw_line_id and what orders them: the lines behind a group as rows, because a model, repository or month can hold any share of all requests."""
+        return self._placed(events.select(group.alias("grp"), "raw_line_id")).select("grp", *self._order)
+
     def page_models(self) -> DataFrame:
-        """H6."""
-        return self._placed(self.usage_events).groupBy("model").agg(F.count("*").alias("requests"), F.sum("output_tokens").alias("output_tokens"), self._ids().alias("request_ids"))
+        """H6: totals; the lines behind them are in page_model_requests."""
+        return self.usage_events.groupBy("model").agg(F.count("*").alias("requests"), F.sum("output_tokens").alias("output_tokens"))
+
+    def page_model_requests(self) -> DataFrame:
+        return self._listed(self.usage_events, F.col("model"))
 
     def page_repositories(self) -> DataFrame:
-        return self._placed(self.usage_events).groupBy("repository", "repo_kind").agg(F.count("*").alias("requests"), F.sum("output_tokens").alias("output_tokens"), self._ids().alias("request_ids"))
+        return self.usage_events.groupBy("repository", "repo_kind").agg(F.count("*").alias("requests"), F.sum("output_tokens").alias("output_tokens"))
+
+    def page_repository_requests(self) -> DataFrame:
+        return self._listed(self.usage_events, F.concat_ws("|", F.coalesce("repository", F.lit("-")), "repo_kind"))
 
     def page_machines(self) -> DataFrame:
         """H7."""
@@ -264,12 +284,12 @@ class Reports(Telemetry):
         return self._open_at(self.v34_burn_rate(), reported_at).filter("open_at_report")
 
     def page_months(self) -> DataFrame:
-        """H9: priced and unpriced requests of each local month."""
+        """H9: the priced and unpriced requests of each local month, as rows."""
         from ..operators.periods import local_month
 
-        c = self._placed(self.request_costs.filter("timestamp_utc is not null")).withColumn("month", local_month(F.col("timestamp_utc"), dim.ZONE))
-        priced = F.col("unpriced_reason").isNull()
-        return c.groupBy("month").agg(self._ids(priced).alias("priced_ids"), self._ids(~priced).alias("unpriced_ids"))
+        c = self.request_costs.filter("timestamp_utc is not null")
+        priced = F.when(F.col("unpriced_reason").isNull(), "priced").otherwise("unpriced")
+        return self._listed(c, F.concat_ws("|", local_month(F.col("timestamp_utc"), dim.ZONE), priced))
 
     def page_events(self) -> DataFrame:
         """Place and time of every line that any hit, lockout or response of the page names."""
@@ -282,15 +302,43 @@ class Reports(Telemetry):
         return lines.join(p, "raw_line_id", "left").join(s, "raw_line_id", "left").select("raw_line_id", "relative_path", "line_number", at.alias("at_utc"))
 
     def page_price_notes(self) -> DataFrame:
-        """H11."""
-        c = self._placed(self.request_costs.filter("timestamp_utc is not null"))
-        early = c.filter("unpriced_reason is null and day_utc < verified_on").groupBy("verified_on").agg(F.count("*").alias("requests"), self._ids().alias("ids")).select(F.concat(F.lit("verified "), F.col("verified_on")).alias("note"), "requests", "ids")
-        return early.unionByName(c.filter("is_lower_bound = 1").agg(F.lit("lower bound").alias("note"), F.count("*").alias("requests"), self._ids().alias("ids")))
+        """The requests behind each note on prices, as rows."""
+        c = self.request_costs.filter("timestamp_utc is not null")
+        early = self._listed(c.filter("unpriced_reason is null and day_utc < verified_on"), F.concat(F.lit("verified "), F.col("verified_on")))
+        return early.unionByName(self._listed(c.filter("is_lower_bound = 1"), F.lit("lower bound")))
+
+    def page_placed_hits(self) -> DataFrame:
+        """Each hit in the drawn window that holds it, at most one: of overlapping ones that with the earliest reset; hits of unknown window or time are in none."""
+        w = self.window_instances.filter("readings > 0").select(F.col("window_name").alias("c_window"), "reset", F.col("reset_at_utc").alias("column_reset_at_utc"))
+        hits = self.limit_hits.filter("window_name is not null and hit_at_utc is not null")
+        inside = contained_in(hits.select("raw_line_id", "window_name", "hit_at_utc"), w, ms("hit_at_utc"), F.col("reset") - length_s(F.col("c_window")) * 1000, F.col("reset"), DAY_MS, equal=[("window_name", "c_window")])
+        first = inside.groupBy("raw_line_id").agg(F.min_by("column_reset_at_utc", "reset").alias("column_reset_at_utc"))
+        return self.limit_hits.select("raw_line_id", "source", "window_name", "hit_at_utc").join(first, "raw_line_id", "left")
+
+    def page_crossings(self) -> DataFrame:
+        """H5: the first readings at or above 75 and 90 % of both kinds of windows."""
+        return self.v23b_five_hour_crossings().unionByName(self.v23_weekly_crossings())
+
+    def page_plan_lockouts(self) -> DataFrame:
+        """H4: the lockouts of each plan period."""
+        return self.lockouts_by_plan.select("period_kind", "from_month", "interval_number", "locked_from_utc", "lockout_seconds")
+
+    def page_machine_totals(self) -> DataFrame:
+        """H7: each machine's requests, tokens, price and latest week, with its label."""
+        price = self.list_price_by_machine.select("machine_id", F.round("list_price_usd", 6).alias("list_price_usd"), F.round("week_list_price_usd", 6).alias("week_list_price_usd"), "unpriced_requests")
+        return self.v39_usage_by_machine().select("machine_id", "machine_label", "is_this_machine", "requests", "input_tokens", "output_tokens", "week_requests", "week_output_tokens").join(price, "machine_id", "left")
+
+    def combining(self) -> DataFrame:
+        """Whether lines of several machines are combined: this one takes part, or a file of another one is there."""
+        here = self.values([dim.THIS_MACHINE], "machine_id string, label string").limit(1)
+        either = here.select(F.lit(1).alias("x")).unionByName(self.machine_files().select(F.lit(1).alias("x")).limit(1))
+        return either.agg((F.count("*") > 0).alias("combining"))
 
     def page(self, reported_at: datetime | None = None) -> dict[str, DataFrame]:
         """All of a page's frames."""
         return {
-            "windows": self.page_windows(), "lockouts": self.page_lockouts(), "interruptions": self.page_interruptions(), "by_plan": self.page_by_plan(), "after_reset": self.page_after_reset(), "models": self.page_models(),
+            "windows": self.page_windows(), "lockouts": self.page_lockouts(), "interruptions": self.page_interruptions(), "by_plan": self.page_by_plan(), "after_reset": self.page_after_reset(), "models": self.page_models(), "model_requests": self.page_model_requests(), "repository_requests": self.page_repository_requests(),
+            "placed_hits": self.page_placed_hits(), "crossings": self.page_crossings(), "plan_lockouts": self.page_plan_lockouts(), "machine_totals": self.page_machine_totals(), "combining": self.combining(),
             "repositories": self.page_repositories(), "machines": self.page_machines(), "burn": self.page_burn(reported_at), "months": self.page_months(), "events": self.page_events(), "price_notes": self.page_price_notes(),
         }
 
@@ -440,6 +488,7 @@ QUERIES = {
     "ref_a03_totals_by_model": _q("totals_by_model"), "ref_a03_totals_by_day": _q("totals_by_day"), "ref_a22_ingest_summary": _q("ingest_summary"), "ref_a26_stored_data": _q("stored_data"), "ref_a27_machine_list": _q("machine_list"),
     "ref_l06_top_repositories": _q("top_repositories"), "ref_s21_event_lines": _q("event_lines"),
     "ref_h01_windows": _q("page_windows"), "ref_h02_lockouts": _q("page_lockouts"), "ref_h03_interruptions": _q("page_interruptions"), "ref_h04_by_plan": _q("page_by_plan"), "ref_h05_after_reset": _q("page_after_reset"),
-    "ref_h06_models": _q("page_models"), "ref_h06_repositories": _q("page_repositories"), "ref_h07_machines": _q("page_machines"), "ref_h08_burn": _q("page_burn"), "ref_h09_months": _q("page_months"),
+    "ref_h06_models": _q("page_models"), "ref_h06_repositories": _q("page_repositories"), "ref_h06_model_requests": _q("page_model_requests"), "ref_h06_repository_requests": _q("page_repository_requests"), "ref_j11_placed_hits": _q("page_placed_hits"),
+    "ref_h05_crossings": _q("page_crossings"), "ref_h04_plan_lockouts": _q("page_plan_lockouts"), "ref_h07_machine_totals": _q("page_machine_totals"), "ref_u06_combining": _q("combining"), "ref_h07_machines": _q("page_machines"), "ref_h08_burn": _q("page_burn"), "ref_h09_months": _q("page_months"),
     "ref_h10_events": _q("page_events"), "ref_h11_price_notes": _q("page_price_notes"),
 }

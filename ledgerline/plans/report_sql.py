@@ -13,6 +13,7 @@ def _ids(only: str = "") -> str:
 
 
 _W = "JOIN raw_lines w USING (raw_line_id)"
+_PLACE = "raw_line_id, w.source_file_id, w.first_run_id, w.line_number"
 _NEW = "coalesce(cache_write_5m_tokens, 0) + coalesce(cache_write_1h_tokens, 0) + coalesce(cache_write_unsplit_tokens, 0)"
 _ZERO = "count(*) AS requests, " + ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in _TOKENS.split(", "))
 _FOUR = f"CAST(sum(input_tokens) AS BIGINT) AS input, CAST(sum(output_tokens) AS BIGINT) AS output, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read, CAST(sum({_NEW}) AS BIGINT) AS cache_write"
@@ -54,18 +55,30 @@ _PLAIN = {
         {_ids("window_name IS NULL")} AS unknown_window_ids, {_ids("source = 'session_log'")} AS logged_ids, {_ids("source = 'status_line'")} AS status_line_only_ids FROM hits {_W}""",
     "ref_h04_by_plan": f"SELECT period_kind, from_month, count(*) AS hits, {_ids()} AS hit_ids FROM hit_plans {_W} GROUP BY 1, 2",
     "ref_h05_after_reset": f"SELECT count(*) AS n, {_ids()} AS ids FROM (SELECT raw_line_id FROM readings WHERE after_reset = 1) {_W}",
-    "ref_h06_models": f"SELECT model, count(*) AS requests, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, {_ids()} AS request_ids FROM usage {_W} GROUP BY 1",
-    "ref_h06_repositories": f"SELECT repository, repo_kind, count(*) AS requests, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, {_ids()} AS request_ids FROM usage {_W} GROUP BY 1, 2",
+    "ref_h06_models": "SELECT model, count(*) AS requests, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM usage GROUP BY 1",
+    "ref_h06_repositories": "SELECT repository, repo_kind, count(*) AS requests, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM usage GROUP BY 1, 2",
+    "ref_h06_model_requests": f"SELECT model AS grp, {_PLACE} FROM usage {_W}",
+    "ref_h06_repository_requests": f"SELECT coalesce(repository, '-') || '|' || repo_kind AS grp, {_PLACE} FROM usage {_W}",
     "ref_h07_machines": f"SELECT machine_id, count(*) AS requests, {_ids('in_latest_week')} AS week_ids FROM by_machine {_W} GROUP BY 1",
     "ref_h08_burn": f"SELECT *, window_open AS open_at_report FROM ({SELECTS['v34_burn_rate']}) WHERE window_open",
-    "ref_h09_months": f"SELECT {_MONTH.format('timestamp_utc')} AS month, {_ids('unpriced_reason IS NULL')} AS priced_ids, {_ids('unpriced_reason IS NOT NULL')} AS unpriced_ids FROM (SELECT raw_line_id, timestamp_utc, unpriced_reason FROM costs WHERE timestamp_utc IS NOT NULL) {_W} GROUP BY 1",
+    "ref_h09_months": f"SELECT {_MONTH.format('timestamp_utc')} || CASE WHEN unpriced_reason IS NULL THEN '|priced' ELSE '|unpriced' END AS grp, {_PLACE} FROM costs {_W} WHERE timestamp_utc IS NOT NULL",
     "ref_h10_events": """
       SELECT r.raw_line_id, relative_path, line_number, CASE WHEN kind = 'spool' THEN make_timestamp(CAST(round(CASE WHEN captured_at_s > 1e11 THEN captured_at_s ELSE captured_at_s * 1000 END) AS BIGINT) * 1000) ELSE timestamp_utc END AS at_utc
       FROM raw_lines r LEFT JOIN parsed_lines p USING (raw_line_id) LEFT JOIN status_readings s USING (raw_line_id)
       WHERE r.raw_line_id IN (SELECT raw_line_id FROM hits UNION SELECT raw_line_id FROM dedup UNION SELECT raw_line_id FROM readings)""",
     "ref_h11_price_notes": f"""
-      SELECT 'verified ' || verified_on AS note, count(*) AS requests, {_ids()} AS ids FROM (SELECT raw_line_id, verified_on FROM costs WHERE timestamp_utc IS NOT NULL AND unpriced_reason IS NULL AND day_utc < verified_on) {_W} GROUP BY verified_on
-      UNION ALL SELECT 'lower bound', count(*), {_ids()} FROM (SELECT raw_line_id FROM costs WHERE timestamp_utc IS NOT NULL AND is_lower_bound = 1) {_W}""",
+      SELECT 'verified ' || verified_on AS grp, {_PLACE} FROM costs {_W} WHERE timestamp_utc IS NOT NULL AND unpriced_reason IS NULL AND day_utc < verified_on
+      UNION ALL SELECT 'lower bound', {_PLACE} FROM costs {_W} WHERE timestamp_utc IS NOT NULL AND is_lower_bound = 1""",
+    "ref_j11_placed_hits": f"""
+      SELECT e.raw_line_id, e.source, e.window_name, e.hit_at_utc, (
+        SELECT c.reset_at_utc FROM ({SELECTS['v20_window_instances']}) c WHERE c.readings > 0 AND c.window_name = e.window_name AND e.hit_at_utc > c.reset_at_utc - CASE c.window_name WHEN 'five_hour' THEN INTERVAL 5 HOUR ELSE INTERVAL 7 DAY END
+          AND e.hit_at_utc <= c.reset_at_utc ORDER BY c.reset_at_utc LIMIT 1) AS column_reset_at_utc FROM hits e""",
+    "ref_h05_crossings": f"({SELECTS['v23b_five_hour_crossings']}) UNION ALL ({SELECTS['v23_weekly_crossings']})",
+    "ref_h04_plan_lockouts": f"SELECT period_kind, from_month, interval_number, locked_from_utc, lockout_seconds FROM ({SELECTS['v32_lockout_by_plan_events']})",
+    "ref_h07_machine_totals": f"""
+      SELECT machine_id, u.machine_label, u.is_this_machine, u.requests, u.input_tokens, u.output_tokens, u.week_requests, u.week_output_tokens, round(p.list_price_usd, 6) AS list_price_usd, round(p.week_list_price_usd, 6) AS week_list_price_usd, p.unpriced_requests
+      FROM ({SELECTS['v39_usage_by_machine']}) u LEFT JOIN ({SELECTS['v40_api_list_price_by_machine']}) p USING (machine_id)""",
+    "ref_u06_combining": "SELECT true OR EXISTS (SELECT 1 FROM machine_files) AS combining",
     "ref_r08_verify": f"""
       SELECT day, model, field, l AS left_value, r AS right_value FROM (
         SELECT coalesce(a.day, b.day) AS day, coalesce(a.model, b.model) AS model, unnest(['input', 'output', 'cache_read', 'cache_write']) AS field,

@@ -7,6 +7,7 @@ readings, limit hits, lockout hits) is stored once per object. Observed views ne
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +23,12 @@ from ..operators.recursive import walk
 from ..operators.runs import consecutive, run_ids, stale_flag
 from ..runtime import stored
 from ..sources import derive
+from ..sources.store import Versions, signature_of
 from . import dimensions as dim
 
+#: Raised whenever a base view would be computed otherwise.
+VERSION = "2"
+
 DAY_MS, HOUR_MS = 86_400_000, 3_600_000
 TOKENS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens", "cache_write_unsplit_tokens"]
 
@@ -54,9 +59,19 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 class Telemetry:
     """The views over one folder of tables, or over DataFrames given by name."""
 
-    def __init__(self, spark: SparkSession, folder: str = "", tables: dict[str, DataFrame] | None = None):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.folder, self.tables = spark, folder, tables or {}
+    def __init__(self, spark: SparkSession, folder: str = "", tables: dict[str, DataFrame] | None = None, views: str | None = None):
+        """views: a folder that keeps the two base views from one report to the next, until what they read changes."""
+        if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # times without zone are UTC throughout
+        self.spark, self.folder, self.tables, self.views = spark, folder, tables or {}, views
+
+    def _base(self, name: str, compute: Callable[[], DataFrame], *reads: str) -> DataFrame:
+        """A base view, computed unless the stored one is of the same tables and rules."""
+        if self.views is None:
+            return stored(compute(), name)
+        kept = Versions(self.spark, f"{self.views}/{name}")
+        kept.refresh("".join(signature_of(self.table(t), VERSION) for t in reads), compute)
+        return kept.read()
 
     def table(self, name: str) -> DataFrame:
         if name in self.tables:
@@ -90,7 +105,7 @@ class Telemetry:
             F.coalesce("output_tokens", F.lit(-(1 << 62))), -F.col("is_sidechain"), F.col("timestamp_utc").isNotNull(), -ms("timestamp_utc"),
             "root", "relative_path", "first_run_id", "line_number", "raw_line_id",
         )
-        return stored(latest_by(rows, ["dedup_key"], order), "requests-dedup")
+        return self._base("requests-dedup", lambda: latest_by(rows, ["dedup_key"], order), "requests", "parsed_lines", "raw_lines")
 
     def v01_requests_dedup(self) -> DataFrame:
         return self.requests_dedup.drop("service_tier", "inference_geo", "source_file_id")
@@ -107,6 +122,9 @@ class Telemetry:
     @cached_property
     def window_readings(self) -> DataFrame:
         """V2: one row per observation of a window (columns as in V2, times as `observed`, `cap`, `reset` in ms beside)."""
+        return self._base("window-readings", self._window_readings, "requests", "parsed_lines", "raw_lines", "status_readings", "rate_limit_windows")
+
+    def _window_readings(self) -> DataFrame:
         lines = self.request_lines.filter("timestamp_utc is not null").select(
             "session_id", ms("timestamp_utc").alias("t"), "raw_line_id", F.coalesce("dedup_key", F.concat(F.lit("line:"), F.col("raw_line_id").cast("string"))).alias("response")
         )
@@ -128,11 +146,10 @@ class Telemetry:
         flagged = stale_flag(
             counted, ["window_name", "reset"], F.floor(F.col("observed") / HOUR_MS), [F.col("observed"), F.col("raw_line_id")], "used_percentage", 1, only=F.col("after_reset") == 0
         )
-        out = flagged.select(
+        return flagged.select(
             "raw_line_id", "window_name", "resets_at", at("reset").alias("reset_at_utc"), "used_percentage", "session_id", at("cap").alias("captured_at_utc"),
             at("observed").alias("observed_at_utc"), "observed_via", "after_reset", "stale", "observed", "cap", "reset",
         )
-        return stored(out, "window-readings")
 
     def v02_window_readings(self) -> DataFrame:
         return self.window_readings.drop("observed", "cap", "reset")
@@ -256,7 +273,7 @@ class Telemetry:
         nodes = stored(nodes, "hit-nodes")
         attached = self.table("raw_lines").filter("kind = 'log'").join(nodes.filter("line_type = 'attachment'").select("raw_line_id"), "raw_line_id", "left_semi")
         facts = derive.log_facts(attached, only=["attachment_type", "command_mode"]).drop("first_run_id")
-        passes = F.col("attachment_type").isin(dim.PASSED_ATTACHMENTS) | ((F.col("attachment_type") == "queued_command") & (F.col("command_mode") == "task-notification"))
+        passes = F.col("attachment_type").isin(*dim.PASSED_ATTACHMENTS) | ((F.col("attachment_type") == "queued_command") & (F.col("command_mode") == "task-notification"))
         facts = facts.filter(passes).select("raw_line_id", F.lit(True).alias("_p"))
         up = nodes.select("session_id", F.col("uuid").alias("parent_uuid"), F.col("raw_line_id").alias("up"))
         steps = stored(

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import derive_log, derive_spool
 
+#: Raised whenever a line would be derived otherwise; stored facts of another version are derived anew.
+VERSION = "2"
 _S, _L, _D, _I, _T = "string", "bigint", "double", "int", "timestamp_ntz"
 LOG_FIELDS = {
     "line_class": _S, "session_id": _S, "line_type": _S, "subtype": _S, "timestamp_raw": _S, "timestamp_utc": _T, "cwd": _S, "git_branch": _S, "cc_version": _S,

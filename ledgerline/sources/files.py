@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import stored
 
-FILES = "root string, relative_path string, kind string, size_bytes long"
+FILES = "root string, relative_path string, kind string, size_bytes long, inode long"
 STATE = "root string, relative_path string, byte_offset long, line_count long"
 LINES = "root string, relative_path string, kind string, line_number long, byte_offset long, content_hash string, line_bytes binary"
 CHUNK = 1 << 20
@@ -54,7 +54,7 @@ def discover(spark: SparkSession, root: str, below: str = "projects", suffix: st
         for n in names:
             path = os.path.join(folder, n)
             if n.endswith(suffix) and not os.path.islink(path) and os.path.isfile(path):
-                found.append((root, os.path.relpath(path, root).replace(os.sep, "/"), kind, os.path.getsize(path)))
+                found.append((root, os.path.relpath(path, root).replace(os.sep, "/"), kind, (st := os.stat(path)).st_size, st.st_ino))
     found.sort(key=lambda f: f[1].encode())
     return spark.createDataFrame(found, FILES)
 
@@ -62,16 +62,18 @@ def discover(spark: SparkSession, root: str, below: str = "projects", suffix: st
 def resume(files: DataFrame, state: DataFrame | None, full: bool = False) -> tuple[DataFrame, DataFrame]:
     """(files with start_offset and start_line, problems): where each file's reading starts.
 
-    A file shorter than what was read of it was rewritten: it starts at 0 again and is reported. full starts
+    A file shorter than what was read of it, or another one (by inode, where both are known) under its name, was
+    rewritten: it starts at 0 again and is reported. full starts
     every file at 0; lines that are known already are dropped by the store.
     """
     if state is None or full:
         start = files.withColumns({"start_offset": F.lit(0).cast("long"), "start_line": F.lit(0).cast("long")})
         return start, files.limit(0).select("root", "relative_path", F.lit("file_rewritten").alias("problem"))
-    j = files.join(state.select("root", "relative_path", "byte_offset", "line_count"), ["root", "relative_path"], "left")
-    shorter = F.coalesce(F.col("size_bytes") < F.col("byte_offset"), F.lit(False))
+    before = F.col("inode") if "inode" in state.columns else F.lit(None).cast("long")
+    j = files.join(state.select("root", "relative_path", "byte_offset", "line_count", before.alias("_inode")), ["root", "relative_path"], "left")
+    shorter = F.coalesce((F.col("size_bytes") < F.col("byte_offset")) | F.coalesce(F.col("inode") != F.col("_inode"), F.lit(False)), F.lit(False))
     where = lambda c: F.when(shorter, 0).otherwise(F.coalesce(c, F.lit(0))).cast("long")
-    started = j.select("root", "relative_path", "kind", "size_bytes", where("byte_offset").alias("start_offset"), where("line_count").alias("start_line"))
+    started = j.select("root", "relative_path", "kind", "size_bytes", "inode", where("byte_offset").alias("start_offset"), where("line_count").alias("start_line"))
     return started, j.filter(shorter).select("root", "relative_path", F.lit("file_rewritten").alias("problem"))
 
 
@@ -159,7 +161,7 @@ def complete_lines(started: DataFrame, range_bytes: int = 128 << 20) -> DataFram
 
 
 def state_after(started: DataFrame, lines: DataFrame) -> DataFrame:
-    """root, relative_path, byte_offset, line_count of every file once `lines` are read."""
+    """root, relative_path, byte_offset, line_count, inode of every file once `lines` are read."""
     read = lines.groupBy("root", "relative_path").agg(F.max(F.col("byte_offset") + F.length("line_bytes") + 1).alias("_o"), F.max("line_number").alias("_n"))
     j = started.join(read, ["root", "relative_path"], "left")
-    return j.select("root", "relative_path", F.coalesce("_o", "start_offset").alias("byte_offset"), F.coalesce("_n", "start_line").alias("line_count"))
+    return j.select("root", "relative_path", F.coalesce("_o", "start_offset").alias("byte_offset"), F.coalesce("_n", "start_line").alias("line_count"), "inode")

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import json
 import os
+from datetime import datetime
 
 import pytest
 
@@ -45,7 +46,7 @@ def test_resume_and_rewrite(spark, tmp_path):
     write(tmp_path, "projects/a.jsonl", b"1\n2\n3")
     started, got, _ = read(spark, tmp_path, 2)
     state = stored(files.state_after(started, got), "state")  # as read now, not when the file has grown
-    assert [tuple(r)[2:] for r in state.collect()] == [(4, 2)]
+    assert [tuple(r)[2:4] for r in state.collect()] == [(4, 2)]
     write(tmp_path, "projects/a.jsonl", b"1\n2\n34\n5\n")
     _, got, problems = read(spark, tmp_path, 2, state)
     assert sorted((r.line_number, bytes(r.line_bytes)) for r in got.collect()) == [(3, b"34"), (4, b"5")] and problems == []
@@ -54,6 +55,11 @@ def test_resume_and_rewrite(spark, tmp_path):
     assert [(r.line_number, bytes(r.line_bytes)) for r in got.collect()] == [(1, b"9")] and problems == [("projects/a.jsonl", "file_rewritten")]
     _, got, problems = read(spark, tmp_path, 2, state, full=True)
     assert got.count() == 1 and problems == []
+    write(tmp_path, "other", b"7\n8\n9\n")
+    os.replace(tmp_path / "other", tmp_path / "projects/a.jsonl")  # another file, longer than what was read
+    _, got, problems = read(spark, tmp_path, 2, state)
+    assert got.count() == 3 and problems == [("projects/a.jsonl", "file_rewritten")]
+    assert read(spark, tmp_path, 2, state.drop("inode"))[1].count() == 1  # a state without inodes goes by size alone
 
 
 def test_ingest_is_idempotent_and_keeps_rewritten_lines(spark, tmp_path):
@@ -74,6 +80,60 @@ def test_ingest_is_idempotent_and_keeps_rewritten_lines(spark, tmp_path):
     assert {r.uuid for r in ingest.derived()["parsed_lines"].collect()} == {"u1", "u2", "u3", "u4"}
 
 
+def test_only_new_lines_are_derived_and_all_of_them_anew_for_new_rules(spark, tmp_path, monkeypatch):
+    root, ingest = tmp_path / "root", Ingest(spark, str(tmp_path / "out"))
+    line = lambda i: json.dumps({"type": "user", "uuid": f"u{i}"}).encode() + b"\n"
+    write(root, "projects/a.jsonl", line(1) + line(2))
+    ingest.run(str(root), 1)
+    ingest.derive()
+    first = ingest.log_facts.head()["parts"]
+    write(root, "projects/a.jsonl", line(1) + line(2) + line(3))
+    ingest.run(str(root), 2)
+    ingest.derive()
+    ingest.derive()
+    parts = ingest.log_facts.head()["parts"]
+    assert parts[:1] == first and len(parts) == 2
+    assert sorted(r.uuid for r in ingest.log_facts.read().collect()) == ["u1", "u2", "u3"]
+    monkeypatch.setattr("ledgerline.sources.derive.VERSION", "later")
+    ingest.derive()
+    assert len(ingest.log_facts.head()["parts"]) == 1 and ingest.log_facts.read().count() == 3
+
+
+def test_machines_share_their_lines(spark, tmp_path):
+    folder, now = tmp_path / "shared", datetime(2026, 1, 5)
+    step = lambda i, name, where=folder: i.share(where and str(where), name, name.title(), "a" * 64, 9, now)
+    one, two = (Ingest(spark, str(tmp_path / n)) for n in ("one", "two"))
+    for ingest, words in ((one, "ab"), (two, "c")):
+        root = tmp_path / ("root-" + words)
+        write(root, "projects/x.jsonl", b"".join(json.dumps({"type": "user", "uuid": w, "cwd": "secret"}).encode() + b"\n" for w in words))
+        ingest.run(str(root), 1)
+    assert step(one, "one", None) == {"kind": "off"} and step(one, "one")["kind"] == "folder_missing"
+    os.makedirs(folder)
+    assert step(one, "one") == {"kind": "done", "imported": 0, "problems": []}
+    assert step(two, "two")["imported"] == 2 and step(two, "two")["imported"] == 0
+    assert step(one, "one")["imported"] == 1
+    rows = {(r.root, json.loads(r.line_bytes)["uuid"]) for r in two.raw.read().filter("root like 'machine:%'").collect()}
+    assert rows == {("machine:one", "a"), ("machine:one", "b")}
+    assert not any(b"secret" in r.line_bytes for r in two.raw.read().filter("root like 'machine:%'").collect())
+
+
+def test_base_views_are_kept_until_their_tables_change(spark, tmp_path):
+    from ledgerline.plans.report import Reports
+
+    root, ingest = tmp_path / "root", Ingest(spark, str(tmp_path / "out"))
+    line = lambda i: json.dumps({"type": "assistant", "uuid": f"u{i}", "sessionId": "s", "timestamp": "2026-01-01T00:00:00Z", "message": {"id": f"m{i}", "model": "x", "usage": {"input_tokens": 1, "output_tokens": i}}}).encode() + b"\n"
+    write(root, "projects/a.jsonl", line(1))
+    ingest.run(str(root), 1)
+    report = lambda: Reports(spark, tables=ingest.tables(), views=str(tmp_path / "views"))
+    head = lambda: os.listdir(tmp_path / "views/requests-dedup")
+    assert report().requests_dedup.count() == 1
+    before = sorted(head())
+    assert report().requests_dedup.count() == 1 and sorted(head()) == before
+    write(root, "projects/a.jsonl", line(1) + line(2))
+    ingest.run(str(root), 2)
+    assert report().requests_dedup.count() == 2 and sorted(head()) != before
+
+
 def test_ids_follow_the_order(spark):
     df = spark.createDataFrame([(c, i) for i, c in enumerate("hgfedcba")], "k string, v long")
     got = {r.k: r.id for r in store.with_ids(df, ["k"], 100, "id").collect()}
@@ -183,7 +243,15 @@ def test_command_line(spark, tmp_path, capsys):
     write(root, "projects/a.jsonl", json.dumps(body).encode() + b"\n")
     assert main(["ingest", str(root), out, "--run", "1"]) == 0 and "1 new lines" in capsys.readouterr().out
     assert main(["explain", out, "by-model"]) == 0
-    assert capsys.readouterr().out.strip() == "x: report shows 2.0 | from the events 2.0"
+    assert capsys.readouterr().out.split("\n") == ["x: report shows 2.0 | from the events 2.0", "  x: 2.0", ""]
+    totals = {"day": "2026-01-01", "model": "x", "input": 1, "output": 2, "cache_read": 3, "cache_write": 0, "cost": 0.0}
+    write(tmp_path, "totals.json", json.dumps(totals).encode())
+    assert main(["verify", out, str(tmp_path / "totals.json")]) == 0
+    write(tmp_path, "totals.json", json.dumps(totals | {"output": 5, "cost": 1e-3}).encode())
+    assert main(["verify", out, str(tmp_path / "totals.json")]) == 1
+    assert "2026-01-01 x output: ours 2.0 | theirs 5.0" in capsys.readouterr().out
+    assert main(["plan-price", "2026-01", "20", "one", "--store", out]) == main(["plan-price", "2026-01", "25", "two", "--store", out]) == 0
+    assert capsys.readouterr().out.endswith("2026-01 25.0 two\n")
     assert main(["report", out, "--save", str(tmp_path)]) == 0
     text = open(capsys.readouterr().out.strip()).read()
     assert "OBSERVED" in text and "PROJECTED" in text and "unknown" in text
