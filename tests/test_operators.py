@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,9 +68,19 @@ def test_containment_and_range_count(spark):
     p, s = spark.createDataFrame(points, "id long, at long, w string"), spark.createDataFrame(spans, "sid long, lo long, hi long, sw string")
     got = {(x.id, x.sid) for x in intervals.contained_in(p, s, F.col("at"), F.col("lo"), F.col("hi"), 30, equal=[("w", "sw")]).collect()}
     assert got == {(i, j) for i, a, w in points for j, lo, hi, sw in spans if lo < a <= hi and w in (None, sw)}
-    n = {x.sid: x.n for x in intervals.range_count_distinct(s, p, "sid", F.col("lo"), F.col("hi"), F.col("at"), "w", 30, "n").collect()}
     want = {j: len({w for _, a, w in points if w is not None and lo <= a < hi}) for j, lo, hi, _ in spans}
-    assert n == {j: c for j, c in want.items() if c}
+    for block in (500_000, 15):  # all facts in every task, or in blocks
+        n = {x.sid: x.n for x in intervals.range_count_distinct(s, p, "sid", F.col("lo"), F.col("hi"), F.col("at"), "w", 30, "n", block).collect()}
+        assert n == {j: c for j, c in want.items() if c}
+    assert intervals.range_count_distinct(s, p.limit(0), "sid", F.col("lo"), F.col("hi"), F.col("at"), "w", 30, "n").collect() == []
+
+
+def test_points_below_bounds():
+    g = np.random.default_rng(4)
+    for n in (0, 1, 7, 300):
+        x, y = g.integers(-50, 50, n), g.integers(-50, 50, n)
+        hi, lo = g.integers(-60, 60, 200), g.integers(-60, 60, 200)
+        assert intervals.Below(x, y).count(hi, lo).tolist() == [int(((x < a) & (y < b)).sum()) for a, b in zip(hi, lo, strict=True)]
 
 
 def test_runs_and_pairs(spark):
