@@ -6,20 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .intervals import prefix_max
+from .intervals import prefix_count, prefix_max
 
 
-def run_ids(df: DataFrame, by: list[str], order: list[Column], changed: Column, out: str = "run") -> DataFrame:
+def with_previous(df: DataFrame, by: list[str], order: list[Column], bucket: Column | None = None, out: str = "_previous") -> DataFrame:
+    """df with the row before each in its key, as a struct (null for the first).
+
+    bucket: a column that grows with the order, for keys that may hold any share of all rows: windows then span one
+    bucket each, and the last row of a bucket, one per bucket, is carried to the next that has rows.
+    """
+    row = F.struct(*[F.col(c) for c in df.columns])
+    if bucket is None:
+        return df.withColumn(out, F.lag(row).over(W.partitionBy(*by).orderBy(*order)))
+    b = df.withColumns({"_b": bucket, "_row": row})
+    last = b.groupBy(*by, "_b").agg(F.max_by("_row", F.struct(*order)).alias("_last"))
+    carried = last.select(*[F.col(k).alias("_k_" + k) for k in by], F.col("_b").alias("_kb"), F.lag("_last").over(W.partitionBy(*by).orderBy("_b")).alias("_carried"))
+    on = F.col("_b").eqNullSafe(F.col("_kb"))
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col("_k_" + k))
+    near = b.withColumn("_near", F.lag("_row").over(W.partitionBy(*by, "_b").orderBy(*order)))
+    return near.join(carried, on, "left").select(*df.columns, F.coalesce("_near", "_carried").alias(out))
+
+
+def run_ids(df: DataFrame, by: list[str], order: list[Column], changed: Column, out: str = "run", bucket: Column | None = None) -> DataFrame:
     """df with the number of each row's run, from 1: a run starts at the first row and where `changed` holds.
 
-    changed may use `_previous`, the struct of the row before. Keys are bounded groups here (captures of one
-    response, events of one user); for unbounded ones use intervals.prefix_count with a time bucket.
+    changed may use `_previous`, the struct of the row before. Without `bucket` keys must be bounded groups (captures of
+    one response); with it they may hold any share of all rows, see with_previous.
     """
-    w = W.partitionBy(*by).orderBy(*order)
-    cols = [F.col(c) for c in df.columns]
-    marked = df.withColumn("_previous", F.lag(F.struct(*cols)).over(w))
-    starts = F.when(F.col("_previous").isNull() | changed, 1).otherwise(0)
-    return marked.withColumn("_starts", starts).withColumn(out, F.sum("_starts").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_starts", "_previous")
+    marked = with_previous(df, by, order, bucket)
+    starts = F.coalesce(F.col("_previous").isNull() | changed, F.lit(False))
+    if bucket is None:
+        counted = F.sum(F.when(starts, 1).otherwise(0)).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+        return marked.withColumn(out, counted).drop("_previous")
+    return prefix_count(marked.withColumn("_starts", starts), by, bucket, order, F.col("_starts"), out).drop("_starts", "_previous")
 
 
 def stale_flag(df: DataFrame, by: list[str], bucket: Column, order: list[Column], value: str, slack: float, out: str = "stale", only: Column | None = None) -> DataFrame:
@@ -29,8 +49,7 @@ def stale_flag(df: DataFrame, by: list[str], bucket: Column, order: list[Column]
     return high.withColumn(out, F.when(low & (only if only is not None else F.lit(True)), 1).otherwise(0)).drop("_high")
 
 
-def consecutive(df: DataFrame, by: list[str], order: list[Column], previous: dict[str, str]) -> DataFrame:
-    """Rows that have a row before them in their key, with `previous` (column -> new name) of that row."""
-    w = W.partitionBy(*by).orderBy(*order)
-    lagged = df.withColumns({name: F.lag(c).over(w) for c, name in previous.items()} | {"_i": F.row_number().over(w)})
-    return lagged.filter("_i > 1").drop("_i")
+def consecutive(df: DataFrame, by: list[str], order: list[Column], previous: dict[str, str], bucket: Column | None = None) -> DataFrame:
+    """Rows that have a row before them in their key, with `previous` (column -> new name) of that row; bucket as in with_previous."""
+    lagged = with_previous(df, by, order, bucket).filter(F.col("_previous").isNotNull())
+    return lagged.withColumns({name: F.col("_previous")[c] for c, name in previous.items()}).drop("_previous")

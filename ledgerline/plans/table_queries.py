@@ -146,7 +146,7 @@ _GROUPED = f"SELECT interval_number, min(start_ts) AS locked_from, max(end_ts) A
 @query(f"SELECT g.*, (SELECT min(ts) FROM events e WHERE e.event_type = 'view' AND e.ts >= g.locked_until) AS next_view FROM ({_GROUPED}) g")
 def q10_next_global(spark, t):
     v = t("events").filter("event_type = 'view'").select(F.lit(0).alias("_all"), "ts", "event_id")
-    out = asof_forward(_grouped(t).withColumn("_all", F.lit(0)), v, ["_all"], ms("locked_until"), ms("ts"), F.col("event_id"), ["ts"], strict=False, prefix="v_")
+    out = asof_forward(_grouped(t).withColumn("_all", F.lit(0)), v, ["_all"], ms("locked_until"), ms("ts"), F.col("event_id"), ["ts"], strict=False, prefix="v_", bucket=60_000)
     return out.select("interval_number", "locked_from", "locked_until", "hits", "users", F.col("v_ts").alias("next_view"))
 
 
@@ -216,7 +216,7 @@ def q18_stale_flag(spark, t):
 r AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM m)
 SELECT user_id, run, any_value(event_type) AS event_type, count(*) AS length, min(ts) AS first_ts, max(ts) AS last_ts FROM r GROUP BY user_id, run""")
 def q19_run_lengths(spark, t):
-    r = runs.run_ids(t("events"), ["user_id"], [F.col("ts"), F.col("event_id")], ~F.col("_previous.event_type").eqNullSafe(F.col("event_type")))
+    r = runs.run_ids(t("events"), ["user_id"], [F.col("ts"), F.col("event_id")], ~F.col("_previous.event_type").eqNullSafe(F.col("event_type")), bucket=F.to_date("ts"))
     return r.groupBy("user_id", "run").agg(F.first("event_type").alias("event_type"), F.count("*").alias("length"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
@@ -226,7 +226,7 @@ FROM (SELECT *, lag(event_id) OVER w AS pid, lag(ts) OVER w AS pts, lag(value) O
 
 def _pairs(t) -> DataFrame:
     e = t("events").filter("event_type = 'error'").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    p = runs.consecutive(e, ["user_id"], [F.col("ts"), F.col("event_id")], {"event_id": "previous_id", "ts": "previous_ts", "value": "_pv", "us": "_pus"})
+    p = runs.consecutive(e, ["user_id"], [F.col("ts"), F.col("event_id")], {"event_id": "previous_id", "ts": "previous_ts", "value": "_pv", "us": "_pus"}, F.to_date("ts"))
     facts = t("events").filter("event_type = 'view'").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "user_id")
     n = intervals.range_count_distinct(p, facts, "event_id", F.col("_pus"), F.col("us"), F.col("us"), "user_id", 12 * 3_600_000_000, "n")
     return p.join(n, "event_id", "left").select("event_id", "user_id", "previous_id", "previous_ts", "ts", F.round(F.col("value") - F.col("_pv"), 4).alias("change"), F.coalesce("n", F.lit(0)).alias("viewers"))

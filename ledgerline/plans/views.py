@@ -390,7 +390,8 @@ class Telemetry:
             F.count("logged").alias("refused_requests"), F.coalesce(F.sum("marks"), F.lit(0)).alias("auto_continuations"), F.min("first_mark").alias("first_mark"),
         ).withColumn("_all", F.lit(0))
         requests = self.requests_dedup.filter("timestamp_utc is not null").select(F.lit(0).alias("_all"), "timestamp_utc", "raw_line_id")
-        g = asof_forward(g, requests, ["_all"], ms("locked_until_utc"), ms("timestamp_utc"), F.col("raw_line_id"), ["timestamp_utc"], strict=False, prefix="next_")
+        # One key for all: minutes as buckets, so a window holds one minute of all requests and the carrying one a row a minute.
+        g = asof_forward(g, requests, ["_all"], ms("locked_until_utc"), ms("timestamp_utc"), F.col("raw_line_id"), ["timestamp_utc"], strict=False, prefix="next_", bucket=60_000)
         end = self.source_coverage.filter("source = 'session_logs'").select(F.col("covers_to").alias("_end"))
         until = F.col("locked_until_utc")
         out = g.crossJoin(F.broadcast(end)).select(
@@ -490,7 +491,7 @@ class Telemetry:
     def reading_pairs(self) -> DataFrame:
         """Consecutive counted, not stale readings: the change, and the distinct responses in between."""
         r = self.window_readings.filter("after_reset = 0 and stale = 0")
-        pairs = consecutive(r, ["window_name", "reset"], [F.col("observed"), F.col("raw_line_id")], {"raw_line_id": "previous_raw_line_id", "used_percentage": "_pu", "observed_at_utc": "previous_observed_at_utc", "observed": "_po"})
+        pairs = consecutive(r, ["window_name", "reset"], [F.col("observed"), F.col("raw_line_id")], {"raw_line_id": "previous_raw_line_id", "used_percentage": "_pu", "observed_at_utc": "previous_observed_at_utc", "observed": "_po"}, F.floor(F.col("observed") / DAY_MS))
         pairs = pairs.withColumn("_id", F.concat_ws("/", "window_name", F.col("reset").cast("string"), F.col("raw_line_id").cast("string")))
         pairs = stored(pairs, "pairs")
         facts = self.request_lines.filter("timestamp_utc is not null").select(ms("timestamp_utc").alias("t"), F.coalesce("dedup_key", F.concat(F.lit("line:"), F.col("raw_line_id").cast("string"))).alias("response"))

@@ -14,9 +14,17 @@ from ..runtime import stored
 
 
 def unknown_lines(incoming: DataFrame, known: DataFrame | None, keys: tuple[str, ...] = ("root", "relative_path", "content_hash"), first: str = "line_number") -> DataFrame:
-    """The incoming rows whose key isn't known yet, of equal ones the first. Keys must not be null."""
-    once = incoming.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in incoming.columns if c not in keys]), first).alias("_r")).select(*keys, "_r.*")
-    return once if known is None else once.join(known.select(*keys), list(keys), "left_anti")
+    """The incoming rows whose key isn't known yet, of equal ones the first. Keys are never null; key and `first` name one row.
+
+    Only keys are shuffled: what must go, later copies and known rows, is found by them and taken off the rows. `incoming`
+    is read more than once: pass a stored table.
+    """
+    narrow = incoming.select(*keys, first)
+    repeated = narrow.groupBy(*keys).agg(F.min(first).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    gone = narrow.join(repeated, list(keys)).filter(F.col(first) > F.col("_first")).select(*keys, first)
+    if known is not None:
+        gone = gone.unionByName(narrow.join(known.select(*keys), list(keys), "left_semi"))
+    return incoming.join(gone, [*keys, first], "left_anti")
 
 
 def with_ids(rows: DataFrame, order: list[str], after: int, name: str = "raw_line_id") -> DataFrame:

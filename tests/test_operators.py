@@ -86,9 +86,10 @@ def test_points_below_bounds():
 def test_runs_and_pairs(spark):
     rows = [("u", 1, "a"), ("u", 2, "a"), ("u", 3, "b"), ("u", 4, "a"), ("v", 1, None), ("v", 2, None), ("v", 3, "a")]
     df = spark.createDataFrame(rows, "k string, t long, v string")
-    got = {(x.k, x.t): x.run for x in runs.run_ids(df, ["k"], [F.col("t")], ~F.col("_previous.v").eqNullSafe(F.col("v"))).collect()}
-    assert got == {("u", 1): 1, ("u", 2): 1, ("u", 3): 2, ("u", 4): 3, ("v", 1): 1, ("v", 2): 1, ("v", 3): 2}
-    assert {(x.k, x.t, x.before) for x in runs.consecutive(df, ["k"], [F.col("t")], {"v": "before"}).collect()} == {("u", 2, "a"), ("u", 3, "a"), ("u", 4, "b"), ("v", 2, None), ("v", 3, None)}
+    for bucket in (None, F.floor(F.col("t") / 2)):
+        got = {(x.k, x.t): x.run for x in runs.run_ids(df, ["k"], [F.col("t")], ~F.col("_previous.v").eqNullSafe(F.col("v")), bucket=bucket).collect()}
+        assert got == {("u", 1): 1, ("u", 2): 1, ("u", 3): 2, ("u", 4): 3, ("v", 1): 1, ("v", 2): 1, ("v", 3): 2}
+        assert {(x.k, x.t, x.before) for x in runs.consecutive(df, ["k"], [F.col("t")], {"v": "before"}, bucket).collect()} == {("u", 2, "a"), ("u", 3, "a"), ("u", 4, "b"), ("v", 2, None), ("v", 3, None)}
 
 
 def test_walk_stops(spark):
