@@ -181,7 +181,7 @@ class Reports(Telemetry):
 
     def cost_by_day_model(self) -> DataFrame:
         """A20."""
-        return self.request_costs.filter("total_usd is not null").groupBy("day_utc", "model").agg(F.round(F.sum("total_usd"), 6).alias("usd"))
+        return self.request_costs.filter("total_usd is not null").groupBy("day_utc", "model").agg(F.round(F.sum("total_usd"), 9).alias("usd"))
 
     # --- S21: results by file ------------------------------------------------------------------------------
 

@@ -33,7 +33,7 @@ _PLAIN = {
     "ref_a18_class_counts": f"SELECT c.line_class, count(p.raw_line_id) AS n FROM (VALUES {_CLASSES}) c(line_class) LEFT JOIN parsed_lines p USING (line_class) GROUP BY 1",
     "ref_a18_ignored_types": "SELECT line_type || coalesce('/' || subtype, '') AS label, count(*) AS n FROM parsed_lines WHERE line_class = 'ignored_type' GROUP BY 1",
     "ref_a19_verify_totals": _OURS,
-    "ref_a20_cost_by_day_model": "SELECT day_utc, model, round(sum(total_usd), 6) AS usd FROM costs WHERE total_usd IS NOT NULL GROUP BY 1, 2",
+    "ref_a20_cost_by_day_model": "SELECT day_utc, model, round(sum(total_usd), 9) AS usd FROM costs WHERE total_usd IS NOT NULL GROUP BY 1, 2",
     "ref_a03_totals_by_model": f"SELECT model, {_ZERO} FROM dedup GROUP BY 1",
     "ref_a03_totals_by_day": f"SELECT strftime(timestamp_utc, '%Y-%m-%d') AS day, model, {_ZERO} FROM dedup WHERE timestamp_utc IS NOT NULL GROUP BY 1, 2",
     "ref_a22_ingest_summary": """
