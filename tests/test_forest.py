@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import forest
 from ledgerline.operators.components import components
+from ledgerline.runtime import stored
 
 
 def brute(links):
@@ -109,13 +110,13 @@ def test_paths_and_descendants(spark):
     assert sizes == below
     some = sorted(good)[:5]
     asked = spark.createDataFrame([(x,) for x in [*some, some[0], None, -5]], "id long").withColumn("root", F.lit(3))
+    order = stored(forest.preorder(df), "preorder")
     for bucket in (1, 8):
-        got = [(r.ancestor, r.id) for r in forest.descendants(forest.preorder(df), asked, bucket).collect()]
+        got = [(r.ancestor, r.id) for r in forest.descendants(order, asked, bucket).collect()]
         assert len(got) == len(set(got)) and set(got) == {(a, x) for x in good for a in whole(x)[:-1] if a in some}
-    for step in (2, 8):
-        got = sorted((r.id, r.position, r.node) for r in forest.full_paths(df, asked, step=step).collect())
-        assert got == sorted((x, n, a) for x in some if x in good for n, a in enumerate(whole(x)))
-    assert forest.full_paths(df, asked.limit(0)).collect() == forest.descendants(forest.preorder(df.limit(0)), asked).collect() == []
+    got = sorted((r.id, r.position, r.node) for r in forest.full_paths(df, asked, step=4).collect())
+    assert got == sorted((x, n, a) for x in some if x in good for n, a in enumerate(whole(x)))
+    assert forest.full_paths(df, asked.limit(0)).collect() == forest.descendants(order.limit(0), asked).collect() == []
 
 
 @pytest.mark.parametrize("block", [10_000, 40])
